@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessarine.plans import preparation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**preparation.QUERIES}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "j1_depth_fill"
+FLAGSHIP = "p6_found"

@@ -46,3 +46,9 @@ def materialise(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Task slots of the cluster, at least one."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has slots, for work that is heavier than a shuffle."""
+    want = slots(df.sparkSession)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
