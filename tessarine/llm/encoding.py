@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarine.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 2_048
@@ -183,10 +185,10 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
         parts = [{"start": r["__start"], "text": r["__part"], "cuts": r["__cuts"], "counts": r["__counts"], "ids": r["__ids"]} for _, r in sorted(rows.items())]
         return pa.table([group.column("__id")[:1], pa.array([stitch(parts, path)], pa.list_(pa.int32()))], names=["__id", "__ids"])
 
-    done = base.where(~long).mapInArrow(short_ones, f"__id {kind}, __ids array<int>")
+    done = spread(base.where(~long)).mapInArrow(short_ones, f"__id {kind}, __ids array<int>")
     cuts = f"__id {kind}, __key string, __k int, __n int, __start bigint, __part string"
-    spread = base.where(long).mapInArrow(cut, cuts).repartition("__id", "__key", "__k")
-    encoded = spread.mapInArrow(split, cuts + ", __cuts array<int>, __counts array<int>, __ids array<int>")
+    scattered = base.where(long).mapInArrow(cut, cuts).repartition("__id", "__key", "__k")
+    encoded = scattered.mapInArrow(split, cuts + ", __cuts array<int>, __counts array<int>, __ids array<int>")
     joined = encoded.groupBy("__id", "__key").applyInArrow(join, f"__id {kind}, __ids array<int>")
     return done.unionByName(joined).select(F.col("__id").alias(doc_id), F.col("__ids").alias("ids"))
 

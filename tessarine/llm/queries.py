@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import encoding, topn
+from tessarine.llm import encoding, lookalike, residue, topn
 from tessarine.session import table
 
 
@@ -16,14 +16,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("ticker", "strategy", "signal_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows whose two titles are different strings that look the same."""
+    titles = table(spark, sf_dir, "match_audit").select("audit_id", "kalshi_title", "polymarket_question")
+    return lookalike.same_look(titles, "kalshi_title", "polymarket_question").where("verdict = 'same look'").select("audit_id").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, an error page or a script notice."""
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
 }
 
 ORACLE_SQL: dict[str, str] = {
