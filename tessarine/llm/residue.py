@@ -43,8 +43,8 @@ MARGIN, FINAL_MARGIN = 1.5, 0.5
 DRIFT = 6.0
 #: Longer records are not trusted unread; they may still be found.
 TRUST_CHARS = 600
-#: Characters under which a passage of a trusted record may say anything.
-PHRASE = 30
+#: Characters under which a passage of a trusted record may say anything (25 with a number in it).
+PHRASE = 36
 
 _NAME = r"(?:[A-Za-z][A-Za-z0-9_]*(?:[. ][A-Za-z][A-Za-z0-9_]*){0,3})"
 # Ways in which template languages write a slot, by a string that each must contain.
@@ -81,7 +81,7 @@ TRUSTED = [
     r"(?:página no encontrada|página não encontrada|page introuvable|seite nicht gefunden|ページが見つかりません)",
     r"(?:ha ocurrido|ocorreu|s'est produite?|erreur est survenue|fehler ist aufgetreten|エラーが発生)", r"(?:temporalmente|temporariamente|temporairement|vorübergehend|ただいま)[^.!。]{0,30}(?:disponible|indispon|nicht|利用)",
     r"session has expired", r"scheduled maintenance", r"rate limited", r"not available in your (?:region|country)", r"you do not have permission", r"(?:market|event|listing|page|chart|stream|document) (?:failed to load|timed out)", r"too many requests", r"no data received", r"something went wrong", r"upstream", r"connection (?:timed out|refused|reset)",
-    r"\b(?:ipsum|laoreet|viverra|congue)\b[^.]*\b(?:lorem|dolor|sit|nibh|sem|magna|elit|risus|amet)\b", r"(?:xxx+ ){2}", r"\basdf\b", r"\bfoo bar\b", r"\btest test\b", r"\btext text\b",
+    r"(?:\b(?:lorem|ipsum|dolor|sit|amet|elit|magna|sem|risus|nibh|congue|viverra|laoreet|velit|tempor|porta|varius|mauris|justo|felis|arcu|quis|nunc)\b\W*){4}", r"(?:xxx+ ){2}", r"\basdf\b", r"\bfoo bar\b", r"\btest test\b", r"\btext text\b",
     r"(?:goes|headline|text|summary|title|caption)\b[^.]{0,25}\b(?:here|at this spot|below)\b", r"(?:dummy|sample|filler|placeholder) (?:text|paragraph)", r"(?:beispieltext|texto de ejemplo|texto de exemplo|texte à remplacer|ダミーテキスト)",
     r"\brules to be written\b", r"copy to follow",
 ]
@@ -94,6 +94,7 @@ _TOKEN = re.compile(
     r"(?P<end>(?<=[.!?])[)\]\"”]?\s+|[。！？]|\s*[\r\n]+\s*|\s{2,}|\s[|]\s|\s-\s(?=[A-Z]))|(?P<num>\d+(?:[.,:]\d+)*)|(?P<word>[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W\d_\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]+)|(?P<sign>[^\w\s])\s*(?P=sign)*|_+",
 )
 _LINES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+|\s{2,}|\s[|]\s")
+_DIGIT = re.compile(r"\d")
 _AROUND = re.compile(r"[^\W_]+|[^\s\w]")
 
 
@@ -156,7 +157,7 @@ def trusted(text: str) -> bool:
         return False
     parts = [p for p in _LINES.split(text) if p.strip()]
     says = [bool(_TRUST.search(p)) for p in parts]
-    return any(says) and all(told or len(p) < PHRASE for p, told in zip(parts, says)) and 2 * sum(says) + 3 >= len(parts)
+    return any(says) and all(told or len(p) < PHRASE and not (len(p) >= 25 and _DIGIT.search(p)) for p, told in zip(parts, says)) and 2 * sum(says) + 3 >= len(parts)
 
 
 @dataclass
