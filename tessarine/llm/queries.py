@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.llm import encoding, lookalike, residue, topn
+from tessarine.llm import encoding, lookalike, packing, residue, topn
 from tessarine.session import table
 
 
@@ -27,6 +27,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for every document, under each of the token budgets."""
+    # The budgets are a fixed table of a few rows.
+    budgets = [(r.budget_id, r.capacity_tokens) for r in table(spark, sf_dir, "token_budget").select("budget_id", "capacity_tokens").distinct().collect()]
+    return packing.pack(table(spark, sf_dir, "documents"), sorted(budgets))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue, filler, an error page or a script notice."""
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
@@ -36,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
 }
 
