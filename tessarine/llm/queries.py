@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessarine.llm import encoding, lookalike, packing, residue, topn
+from tessarine.llm import encoding, lookalike, packing, residue, topn, vectors
 from tessarine.session import table
 
 
@@ -16,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("ticker", "strategy", "signal_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors with a cosine of 0.90 or more, one of them among the five nearest of the other."""
+    near = vectors.nearest(table(spark, sf_dir, "semantic_poly"), "vec_id", "embedding", k=5, least=0.90)
+    return near.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows whose two titles are different strings that look the same."""
     titles = table(spark, sf_dir, "match_audit").select("audit_id", "kalshi_title", "polymarket_question")
@@ -41,6 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
