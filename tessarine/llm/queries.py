@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarine.llm import encoding, lookalike, packing, residue, topn, vectors
+from tessarine.llm import encoding, lookalike, matching, packing, residue, topn, vectors
 from tessarine.session import table
 
 
@@ -23,6 +23,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of signatures of the two venues that state the same contract, with a confidence."""
+    left = table(spark, sf_dir, "kalshi_signature").withColumns({"id": F.col("sig_id"), "title": F.col("kalshi_title")})
+    right = table(spark, sf_dir, "poly_signature").withColumns({"id": F.col("sig_id"), "title": F.col("polymarket_question")})
+    return matching.match(left, right).select(F.col("left_id").alias("kalshi_sig_id"), F.col("right_id").alias("poly_sig_id"), "score", "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched pairs alone."""
+    return p3_matches(spark, sf_dir).select("kalshi_sig_id", "poly_sig_id").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit rows whose two titles are different strings that look the same."""
     titles = table(spark, sf_dir, "match_audit").select("audit_id", "kalshi_title", "polymarket_question")
@@ -49,6 +61,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
