@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarine.plans import preparation
+from tessarine.plans import preparation, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**preparation.QUERIES}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "p6_found"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **preparation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL}
+FLAGSHIP = "j1_depth_fill"
