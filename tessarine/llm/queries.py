@@ -70,6 +70,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "p2_found": """
+        with v as (
+            select vec_id, min(embedding::double[]) as e from semantic_poly
+            where embedding is not null and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by vec_id
+        ),
+        n as (select vec_id, e, sqrt(list_dot_product(e, e)) as s from v),
+        p as (
+            select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.s * b.s), 9) as c
+            from n a join n b on a.vec_id <> b.vec_id
+        )
+        select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b
+        from (select *, row_number() over (partition by a order by c desc, b) as k from p) where k <= 5 and c >= 0.90
+    """,
     "p1_found": """
         with once as (
             select distinct ticker, strategy, signal_id, net_profit, logged_at from signals
