@@ -7,16 +7,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessarine.operators.linkage import null_safe_join
+from tessarine.session import slots
 
-def depth_fill(levels: DataFrame, book: str, price: str, size: str, order: Sequence[Column], quantities: Sequence[float]) -> DataFrame:
-    """Cost of taking fixed quantities from the cheapest levels of every book.
 
-    Returns ``book``, quantity, filled, cost, worst and levels. The room before a level is a running sum
-    in ``order``, so one window over the book serves all quantities; levels without room are dropped
-    before they are aggregated. Levels with a null or non-positive price or size take no part.
+def blocks(df: DataFrame, at: str, parts: int | None = None) -> Column:
+    """Number of the stretch of the numeric column ``at`` that a row lies in, by quantiles of the whole table.
+
+    The cuts are literals, so that every recomputation gives the same blocks.
+    """
+    parts = parts or 2 * slots(df.sparkSession)
+    cuts = sorted(set(df.approxQuantile(at, [k / parts for k in range(1, parts)], 0.05))) if parts > 1 else []
+    return sum(((F.col(at) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], at: str, amount: str, out: str, peak: str | None = None, parts: int | None = None) -> DataFrame:
+    """Adds the running sum of ``amount`` (``out``) and, if asked for, its running maximum (``peak``).
+
+    ``at`` is the numeric column that ``order`` starts with. A key that holds a third of all rows would
+    bring them into one task; instead each stretch of a key is summed on its own, and the sums of the
+    stretches before it (at most ``parts`` a key) are added. Nulls are skipped; sums are null before the
+    first value.
+    """
+    held = df.withColumn("__b", F.coalesce(blocks(df, at, parts), F.lit(-1)))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("__run", F.sum(amount).over(inside)).withColumn("__top", F.max("__run").over(inside))
+    sums = held.groupBy(*keys, "__b").agg(F.sum(amount).alias("__sum"), F.max("__run").alias("__most"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__offset", F.sum("__sum").over(before))
+    sums = sums.withColumn("__peak", F.max(F.coalesce("__offset", F.lit(0.0)) + F.col("__most")).over(before))
+    joined = null_safe_join(held, sums.select(*keys, "__b", "__offset", "__peak"), [*keys, "__b"])
+    plus = lambda c: F.coalesce(F.col("__offset") + F.col(c), F.col(c), F.col("__offset"))
+    joined = joined.withColumn(out, plus("__run"))
+    if peak:
+        joined = joined.withColumn(peak, F.greatest("__peak", plus("__top")))
+    return joined.drop("__b", "__run", "__top", "__offset", "__peak")
+
+
+def depth_fill(levels: DataFrame, book: str, price: str, size: str, ties: Sequence[str], quantities: Sequence[float], descending: bool = False) -> DataFrame:
+    """Cost of taking fixed quantities from the cheapest (or, descending, dearest) levels of every book.
+
+    Returns ``book``, quantity, filled, cost, worst (the highest price taken) and levels; levels of one
+    price follow ``ties``. The room before a level is a running sum that serves all quantities; levels
+    beyond the largest one are dropped before they are aggregated. Levels with a null or non-positive
+    price or size take no part.
     """
-    w = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    usable = levels.where((F.col(price) > 0) & (F.col(size) > 0)).withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0.0)))
+    usable = levels.where((F.col(price) > 0) & (F.col(size) > 0)).withColumn("__at", -F.col(price) if descending else F.col(price))
+    usable = running(usable, [book], ["__at", *ties], "__at", size, "__until").withColumn("__before", F.col("__until") - F.col(size))
     need = usable.where(F.col("__before") < max(quantities)).withColumn("quantity", F.explode(F.array(*[F.lit(float(q)) for q in quantities])))
     take = F.least(F.col(size), F.col("quantity") - F.col("__before"))
     met = need.where(F.col("quantity") > F.col("__before")).withColumn("__take", take)
@@ -25,19 +62,16 @@ def depth_fill(levels: DataFrame, book: str, price: str, size: str, order: Seque
     )
 
 
-def running_balance(df: DataFrame, key: str, order: Sequence[str], amount: str) -> DataFrame:
+def running_balance(df: DataFrame, key: str, order: Sequence[str], at: str, amount: str) -> DataFrame:
     """Adds balance, peak (running maximum) and drawdown (peak minus balance) of ``amount`` for every key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    held = df.withColumn("balance", F.round(F.sum(amount).over(w), 4))
-    held = held.withColumn("peak", F.max("balance").over(w))
-    return held.withColumn("drawdown", F.round(F.col("peak") - F.col("balance"), 4))
+    held = running(df, [key], order, at, amount, "balance", "peak")
+    return held.withColumns({c: F.round(c, 4) for c in ("balance", "peak")}).withColumn("drawdown", F.round(F.col("peak") - F.col("balance"), 4))
 
 
 def first_crossing(df: DataFrame, key: str, order: Sequence[str], amount: str, at: str, level: float) -> DataFrame:
-    """For every key the first moment at which the running sum of ``amount`` reaches ``level``; null if never."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    held = df.withColumn("__run", F.sum(amount).over(w))
-    return held.groupBy(key).agg(F.min(F.when(F.col("__run") >= level, F.col(at))).alias("crossed_at"), F.count("*").alias("rows_seen"))
+    """For every key the first ``at`` at which the running sum of ``amount`` reaches ``level``; null if never."""
+    held = running(df, [key], order, at, amount, "__total")
+    return held.groupBy(key).agg(F.min(F.when(F.col("__total") >= level, F.col(at))).alias("crossed_at"), F.count("*").alias("rows_seen"))
 
 
 def replenished(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, share: float, least: float) -> DataFrame:

@@ -48,25 +48,36 @@ def range_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: s
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, payload: str, out: str, tie: str) -> DataFrame:
-    """Each left row with ``payload`` of the last right row of its key at or before ``at``.
+    """Each left row with ``payload`` of the last right row of its key at or before ``at`` (numeric).
 
-    Union and a running last value in place of a join: one shuffle on ``key``, no pairs. Among right
-    rows of one instant the largest ``tie`` counts.
+    Union and a running last value in place of a join: no pairs are made. Time is cut into stretches by
+    quantiles, each of which is walked on its own and starts with the last value of those before it, so
+    a busy key is spread over tasks. Among right rows of one instant the largest ``tie`` counts.
     """
+    from tessarine.operators.ledger import blocks
+
     l = left.withColumns({"__p": F.lit(None).cast(dict(right.dtypes)[payload]), "__side": F.lit(1), "__tie": F.lit(None).cast("long")})  # noqa: E741
     r = right.select(key, at, F.col(payload).alias("__p"), F.lit(0).alias("__side"), F.col(tie).cast("long").alias("__tie"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(at, "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(out, F.last("__p", ignorenulls=True).over(order)).where("__side = 1").drop("__p", "__side", "__tie")
+    both = both.withColumn("__b", F.coalesce(blocks(both.select(F.col(at).cast("double")), at), F.lit(-1)))
+    order = Window.partitionBy(key, "__b").orderBy(at, "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = both.withColumn("__own", F.last("__p", ignorenulls=True).over(order)).where("__side = 1")
+    last = both.where("__side = 0 and __p is not null").groupBy(key, "__b").agg(F.max_by("__p", F.struct(at, "__tie")).alias("__last"))
+    # The last value before each stretch: at most one row a key and stretch meets the running window.
+    needed = both.select(key, "__b").distinct()
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = null_safe_join(needed, last, [key, "__b"], "left").withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier))
+    joined = null_safe_join(walked, carried.select(key, "__b", "__carried"), [key, "__b"], "left")
+    return joined.withColumn(out, F.coalesce("__own", "__carried")).drop("__p", "__side", "__tie", "__b", "__own", "__carried")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, payload: str, out: str, tie: str) -> DataFrame:
     """Each left row with ``payload`` of the right row of its key nearest in time (earlier wins a tie)."""
-    before = asof_join(left, right.withColumn("__x", F.struct(F.col(at).alias("t"), F.col(payload).alias("v"))), key, at, "__x", "__b", tie)
+    before = asof_join(left, right.withColumn("__x", F.struct(F.col(at).alias("t"), F.col(payload).alias("v"))), key, at, "__x", "__before", tie)
     flip = lambda d: d.withColumn("__neg", -F.col(at))
-    after = asof_join(flip(before), flip(right).withColumn("__x", F.struct(F.col(at).alias("t"), F.col(payload).alias("v"))), key, "__neg", "__x", "__a", tie)
-    closer = F.col("__b.t").isNotNull() & (F.col("__a.t").isNull() | (F.col(at) - F.col("__b.t") <= F.col("__a.t") - F.col(at)))
-    return after.withColumn(out, F.when(closer, F.col("__b.v")).otherwise(F.col("__a.v"))).drop("__b", "__a", "__neg")
+    after = asof_join(flip(before), flip(right).withColumn("__x", F.struct(F.col(at).alias("t"), F.col(payload).alias("v"))), key, "__neg", "__x", "__after", tie)
+    closer = F.col("__before.t").isNotNull() & (F.col("__after.t").isNull() | (F.col(at) - F.col("__before.t") <= F.col("__after.t") - F.col(at)))
+    return after.withColumn(out, F.when(closer, F.col("__before.v")).otherwise(F.col("__after.v"))).drop("__before", "__after", "__neg")
 
 
 def domain_top_k(queries: DataFrame, rows: DataFrame, domain: str, vec_id: str, embedding: str, k: int) -> DataFrame:

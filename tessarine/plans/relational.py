@@ -330,7 +330,7 @@ def h1(t):
     select book, quantity, sum(take) as filled, round(sum(take * price), 7) as cost, max(price) as worst, count(*) as levels from f group by book, quantity""")
 def j1(t):
     levels = t("lineitem").select(F.col("l_partkey").alias("book"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("double").alias("size"), "l_orderkey", "l_linenumber")
-    fills = ledger.depth_fill(levels, "book", "price", "size", [F.col("price"), F.col("l_orderkey"), F.col("l_linenumber")], [1, 2, 5, 10, 20, 50, 100, 500])
+    fills = ledger.depth_fill(levels, "book", "price", "size", ["l_orderkey", "l_linenumber"], [1, 2, 5, 10, 20, 50, 100, 500])
     return fills
 
 
@@ -357,7 +357,8 @@ def l5(t):
     p as (select event_id, balance, max(balance) over (partition by user_id order by ts, event_id rows unbounded preceding) as peak from b)
     select event_id, round(balance, 2) as balance, round(peak, 2) as peak, round(peak - balance, 2) as drawdown from p""")
 def m7(t):
-    held = ledger.running_balance(t("events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value")
+    rows = t("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "value")
+    held = ledger.running_balance(rows, "user_id", ["micros", "event_id"], "micros", "value")
     return held.select("event_id", F.round("balance", 2).alias("balance"), F.round("peak", 2).alias("peak"), F.round(F.col("peak") - F.col("balance"), 2).alias("drawdown"))
 
 
@@ -374,7 +375,7 @@ def m8(t):
     select user_id, min(case when run >= 500 then sec end) as crossed_at, count(*) as rows_seen from r group by user_id""")
 def m14(t):
     rows = t("events").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("sec"), "value")
-    return ledger.first_crossing(rows, "user_id", ["ts", "event_id"], "value", "sec", 500.0)
+    return ledger.first_crossing(rows, "user_id", ["sec", "event_id"], "value", "sec", 500.0)
 
 
 @query("m14_sessions", _EVENTS + """

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_votes_and_groups(spark):
 
 def test_ladder_known_values(spark):
     levels = spark.createDataFrame([("b", 0.31, 3.0, 1), ("b", 0.30, 2.0, 0), ("b", 0.0, 9.0, 2), ("c", 0.5, None, 0)], "book string, price double, size double, k int")
-    got = {r.quantity: r for r in ledger.depth_fill(levels, "book", "price", "size", [F.col("price"), F.col("k")], [1, 4, 50]).collect()}
+    got = {r.quantity: r for r in ledger.depth_fill(levels, "book", "price", "size", ["k"], [1, 4, 50]).collect()}
     assert (got[4.0].filled, got[4.0].cost, got[4.0].worst, got[4.0].levels) == (4.0, 1.22, 0.31, 2)
     assert (got[1.0].cost, got[50.0].filled) == (0.3, 5.0)
 
@@ -67,13 +68,40 @@ def test_ladder_known_values(spark):
 def test_ledger(spark):
     rows = [("a", 1, 5.0), ("a", 2, -3.0), ("a", 3, 9.0), ("b", 1, None)]
     df = spark.createDataFrame(rows, "k string, n int, v double")
-    got = [(r.k, r.n, r.balance, r.peak, r.drawdown) for r in ledger.running_balance(df, "k", ["n"], "v").orderBy("k", "n").collect()]
+    got = [(r.k, r.n, r.balance, r.peak, r.drawdown) for r in ledger.running_balance(df, "k", ["n"], "n", "v").orderBy("k", "n").collect()]
     assert got == [("a", 1, 5.0, 5.0, 0.0), ("a", 2, 2.0, 5.0, 3.0), ("a", 3, 11.0, 11.0, 0.0), ("b", 1, None, None, None)]
     assert {(r.k, r.crossed_at) for r in ledger.first_crossing(df, "k", ["n"], "v", "n", 10.0).collect()} == {("a", 3), ("b", None)}
     assert [(r.k, r.n) for r in ledger.replenished(df, ["k"], ["n"], "v", 0.5, 5.0).collect()] == [("a", 3)]
     assert [r.session_no for r in ledger.sessions(df, "k", "n", "v", 1.0).where("k = 'a'").orderBy("n").collect()] == [1, 1, 1]
 
 
+def test_running_sums_of_a_hot_key_are_cut(spark):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), k // 2, k, rng.choice([None, -2.0, 1.0, 4.0])) for k in range(600)]
+    df = spark.createDataFrame(rows, "k string, n bigint, i int, v double").repartition(5)
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = peak = None
+        for _, _, i, v in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            if v is not None:
+                total = (total or 0.0) + v
+                peak = total if peak is None else max(peak, total)
+            want[i] = (total, peak)
+    for parts in (1, 2, 9):
+        got = {r.i: (r.s, r.m) for r in ledger.running(df, ["k"], ["n", "i"], "n", "v", "s", "m", parts).collect()}
+        assert got == want
+    assert ledger.running(df.limit(0), ["k"], ["n", "i"], "n", "v", "s").count() == 0
+
+
+def test_asof_of_a_hot_key_is_cut(spark):
+    rng = random.Random(7)
+    left = [(k, rng.choice(["hot", "hot", "a", None]), float(rng.randint(0, 300))) for k in range(300)]
+    right = [(k, rng.choice(["hot", "hot", "a", None]), float(rng.randint(20, 300))) for k in range(200)]
+    l, r = spark.createDataFrame(left, "lid int, k string, at double"), spark.createDataFrame(right, "v int, k string, at double").withColumn("tie", F.col("v"))  # noqa: E741
+    got = {x.lid: x.out for x in linkage.asof_join(l, r, "k", "at", "v", "out", "tie").collect()}
+    assert got == {i: max(((t, v) for v, q, t in right if q == k and t <= at), default=(0, None))[1] for i, k, at in left}
+
+
 def test_ranking_and_rules(spark):
     df = spark.createDataFrame([("a", k, float(k)) for k in range(5)] + [("b", 9, 0.5), (None, 8, 2.5)], "g string, i int, s double")
     top = ranking.diversified_top(df, "g", [F.col("s").desc(), F.col("i")], 1, 4).collect()
