@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessarine.session import checkpoint_dir
+
 FILL_OUT = "order_id string, filled double, filled_at timestamp, status string"
 FILL_STATE = "needed double, filled double, done boolean"
 
@@ -60,3 +63,21 @@ def fills_batch(trades: DataFrame) -> DataFrame:
     w = Window.partitionBy("order_id").orderBy("trade_at", "size").rowsBetween(Window.unboundedPreceding, 0)
     run = trades.withColumn("filled", F.sum("size").over(w)).where(F.col("filled") >= F.col("needed"))
     return run.groupBy("order_id").agg(F.min_by("filled", "filled").alias("filled"), F.min("trade_at").alias("filled_at"))
+
+
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all there is and read what it has written to the shared folder.
+
+    In complete mode each batch replaces the table, so the last one is the result; in append mode the
+    file sink adds to it exactly once.
+    """
+    spark = stream.sparkSession
+    place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{place}/table"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        query = writer.format("parquet").option("path", out).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
