@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tessarine", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    return share_code(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +24,19 @@ def local_session(app: str = "tessarine", cpus: int | str = "*", shuffle_partiti
     )
 
 
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+
+    Machines that do not see that folder need the package by ``--py-files`` or an installation.
+    """
+    here = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
