@@ -8,7 +8,6 @@ import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,9 +189,3 @@ def write_watchlist(df: DataFrame, path: str, order: Sequence[F.Column], size: i
         json.dump({"schema": schema_tag, "rows": rows}, out)
     os.replace(temporary, path)
     return len(rows)
-
-
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
