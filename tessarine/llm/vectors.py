@@ -25,7 +25,7 @@ from tessarine.session import materialise, spread
 #: Vectors that a leaf should hold; vectors of the sample for each leaf; vectors of the sample at most.
 LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_ROWS = 400, 24, 400_000
 #: Children of a node, rounds of k-means, queries of the calibration, and the recall it must reach.
-BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 400, 0.998
+BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 1_000, 0.9995
 #: Vectors and queries that meet in one block; parts that a join against copies is salted into.
 BLOCK_ROWS, SALTS = 2_048, 16
 #: Decimals to which cosines count as equal.
@@ -158,7 +158,7 @@ def _filed(reps: DataFrame, tree: Tree) -> DataFrame:
 def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n: int, recall: float) -> int:
     """Leaves to visit so that ``recall`` of the exact neighbours of sampled queries are met."""
     share = min(1.0, 1.5 * rows / max(1, n))
-    queries = filed.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select("id", "v").limit(rows).toArrow()
+    queries = filed.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(rows).toArrow()
     if not queries.num_rows:
         return 1
     qid, raw = queries["id"].to_numpy(), queries["v"].to_pylist()
@@ -217,7 +217,7 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
     leaves = max(1, min(math.ceil(n / leaf_rows), math.ceil(sample_rows / SAMPLE_PER_LEAF)))
     wanted = min(sample_rows, leaves * SAMPLE_PER_LEAF)
     share = min(1.0, 1.2 * wanted / n)
-    drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).limit(wanted).select("v").toArrow()
+    drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).select("v").toArrow()
     tree = fit_tree(unit_rows(drawn["v"].to_pylist(), dim), SAMPLE_PER_LEAF) if drawn.num_rows else Tree(np.zeros((1, dim)), [[]], np.array([0]))
     filed = materialise(_filed(spread(reps), tree))
     visits = calibrate(filed, tree, k, least, CALIBRATION_ROWS, n, recall)
