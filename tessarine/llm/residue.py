@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices among real texts.
 
-Two positive-unlabelled naive Bayes models are learned by expectation-maximisation on a bounded sample
-of records:
+Two positive-unlabelled naive Bayes models are learned by expectation-maximisation on all
+records; in each round every task adds up its records, and sums of fixed size reach the driver:
 
 * the *page* model starts from trusted records that are, as a whole, an error, a filler text or a
   notice. It gives every passage a log-odds; a record is residue if its passages together speak for
@@ -17,8 +17,7 @@ import functools
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarine.session import spread
+from tessarine.session import materialise, spread
 
-#: Records that the models are learned from, at most, and hash buckets of the page model.
-SAMPLE_ROWS = 20_000
+#: Hash buckets of the words of either model.
 BUCKETS = 1 << 18
 ROUNDS = 6
+#: Posteriors are multiples of this, so that their sums are exact in whatever order they are added.
+GRAIN = 2.0**-20
 #: Log-odds under which a passage speaks for real content.
 CONTENT = -10.0
 #: Weight, in words, of the overall word frequencies in the estimate of either class.
@@ -166,9 +166,10 @@ class Model:
 
     page: np.ndarray
     prior: float = -4.0
-    before: dict[str, float] = field(default_factory=dict)
-    after: dict[str, float] = field(default_factory=dict)
-    natural: dict[str, tuple[float, dict[str, float], dict[str, float]]] = field(default_factory=dict)
+    certain: float = 0.0
+    before: dict[int, float] = field(default_factory=dict)
+    after: dict[int, float] = field(default_factory=dict)
+    natural: dict[str, tuple[float, dict[int, float], dict[int, float]]] = field(default_factory=dict)
 
     def passage_scores(self, text: str) -> list[tuple[float, int]]:
         """Log-odds and number of words of each passage."""
@@ -182,13 +183,16 @@ class Model:
         return sum(s for s, _ in scores) + self.prior > 0 and not any(s < CONTENT and n >= 3 for s, n in scores)
 
     def is_slot(self, value: str, before: str, after: str) -> bool:
+        return self.is_slot_at(value, _bucket(before), _bucket(after))
+
+    def is_slot_at(self, value: str, before: int, after: int) -> bool:
+        """``is_slot`` of words that are given by their buckets."""
         if value not in self.natural:
             return True
         n, left, right = self.natural[value]
         share = lambda seen, key, total, kinds: math.log((seen.get(key, 0.0) + 0.2) / (total + 0.2 * kinds))
-        slots_seen = sum(self.after.values())
-        odds = share(self.before, before, slots_seen, 60) - share(left, before, n, 60)
-        odds += share(self.after, after, slots_seen, 60) - share(right, after, n, 60)
+        odds = share(self.before, before, self.certain, 60) - share(left, before, n, 60)
+        odds += share(self.after, after, self.certain, 60) - share(right, after, n, 60)
         return odds > -1.0
 
     def is_residue(self, text: str) -> bool:
@@ -196,77 +200,8 @@ class Model:
         return bool(certain) or any(self.is_slot(*m) for m in maybe) or self.is_page(text)
 
 
-def learn(records: list[tuple[bool, np.ndarray, np.ndarray]], contexts: list[tuple[str, str, str, int]], rounds: int = ROUNDS) -> Model:
-    """Both models by expectation-maximisation.
-
-    ``records``: trusted or not, distinct features, their counts. ``contexts``: value ('' for a certain
-    slot), before, after, count. Trusted records stay positive; the others start as negative, and in
-    each round count as positive by their posterior.
-    """
-    n = len(records)
-    is_trusted = np.array([t for t, _, _ in records], dtype=bool)
-    lens = np.array([len(f) for _, f, _ in records], dtype=np.int64)
-    if not n or not is_trusted.any():
-        model = Model(np.zeros(BUCKETS, dtype=np.float32))
-    else:
-        feats = np.concatenate([np.asarray(f, dtype=np.int64) for _, f, _ in records])
-        counts = np.minimum(np.concatenate([np.asarray(c, dtype=np.float64) for _, _, c in records]), 3)
-        owner = np.repeat(np.arange(n), lens)
-        # Both classes lean on the word frequencies of all records, so a word new to a class counts little.
-        usual = np.bincount(feats, weights=counts, minlength=BUCKETS)
-        usual *= BACKGROUND / max(1.0, usual.sum())
-        posterior = is_trusted.astype(np.float64)
-        for turn in range(rounds):
-            margin = MARGIN if turn + 1 < rounds else FINAL_MARGIN
-            weight = posterior[owner] * counts
-            yes = np.bincount(feats, weights=weight, minlength=BUCKETS)
-            no = np.bincount(feats, weights=counts - weight, minlength=BUCKETS)
-            odds = np.log((yes + usual + 1e-12) / (yes.sum() + BACKGROUND)) - np.log((no + usual + 1e-12) / (no.sum() + BACKGROUND))
-            odds = np.clip(np.where(usual > 0, odds - margin, 0.0), -6.0, 6.0)
-            prior = math.log((posterior.sum() + 1) / (n - posterior.sum() + 1))
-            score = prior + np.bincount(owner, weights=odds[feats] * counts, minlength=n)[:n]
-            posterior = np.where(is_trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -50, 50))))
-            if turn + 2 < rounds and posterior.sum() > DRIFT * is_trusted.sum():  # the class would no longer be what the trusted records state
-                break
-        model = Model(odds.astype(np.float32), prior)
-    _learn_slots(model, contexts, rounds)
-    return model
-
-
-def _learn_slots(model: Model, contexts: list[tuple[str, str, str, int]], rounds: int) -> None:
-    """Words around certain slots, and around each empty-value word where it is used as a word.
-
-    A word that is used in one collocation again and again is a word of the language there; that use
-    starts as negative, every other one as positive.
-    """
-    total, follow = Counter(), Counter()
-    for v, b, a, c in contexts:
-        if v:
-            total[v] += c
-            follow[v, a] += c
-        else:
-            model.before[b] = model.before.get(b, 0.0) + c
-            model.after[a] = model.after.get(a, 0.0) + c
-    positive = [not (v and follow[v, a] >= 8 and follow[v, a] > 0.25 * total[v]) for v, _, a, _ in contexts]
-    for _ in range(rounds):
-        model.natural = {}
-        for (v, b, a, c), p in zip(contexts, positive):
-            if v and not p:
-                n, left, right = model.natural.get(v, (0.0, {}, {}))
-                left[b], right[a] = left.get(b, 0.0) + c, right.get(a, 0.0) + c
-                model.natural[v] = (n + c, left, right)
-        again = [not v or model.is_slot(v, b, a) for v, b, a, _ in contexts]
-        if again == positive:
-            break
-        positive = again
-
-
-def _sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
-    """Features of at most ``rows`` records, drawn by a hash of their text."""
-    n = df.count()
-    base = df.select(F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
-    share = min(1.0, rows / max(1, n))
-    drawn = base if share >= 1 else base.where(F.pmod(F.xxhash64("__t"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+def _features(df: DataFrame, text: str) -> DataFrame:
+    """Whether a record is trusted, its distinct features, their counts up to 3, and the contexts of its slots."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,32 +211,117 @@ def _sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
                 feats, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64),) * 2
                 certain, maybe = slots(t)
                 out["trust"].append(not certain and trusted(t))
-                out["feats"].append(feats)
-                out["counts"].append(counts)
-                out["ctx"].append([" ".join(["", *c]) for c in certain] + [" ".join(m) for m in maybe])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["trust"], pa.bool_()), pa.array(out["feats"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32())), pa.array(out["ctx"], pa.list_(pa.string()))],
-                ["trust", "feats", "counts", "ctx"],
-            )
+                out["feats"].append(feats.astype(np.int32).tobytes())
+                out["counts"].append(np.minimum(counts, 3).astype(np.int8).tobytes())
+                out["ctx"].append([{"v": v, "b": _bucket(b), "a": _bucket(a)} for v, b, a in [*(("", *c) for c in certain), *maybe]])
+            arrays = [pa.array(out["trust"], pa.bool_()), pa.array(out["feats"], pa.binary()), pa.array(out["counts"], pa.binary()), pa.array(out["ctx"], pa.list_(context))]
+            yield pa.RecordBatch.from_arrays(arrays, ["trust", "feats", "counts", "ctx"])
+
+    context = pa.struct([("v", pa.string()), ("b", pa.int32()), ("a", pa.int32())])
+    base = df.select(F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
+    return materialise(spread(base).mapInArrow(featurise, "trust boolean, feats binary, counts binary, ctx array<struct<v: string, b: int, a: int>>"))
+
+
+def _page_sums(records: DataFrame, odds: np.ndarray | None, prior: float) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Counts of each bucket, in the positive class and overall, and the records that are positive, trusted, and all.
+
+    Trusted records are positive; the others are by their posterior, and negative before there are odds.
+    """
 
-    return spread(drawn).mapInArrow(featurise, "trust boolean, feats array<int>, counts array<int>, ctx array<string>").limit(2 * rows)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, every = np.zeros(BUCKETS + 3), np.zeros(BUCKETS + 3)
+        for batch in batches:
+            for told, f, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                feats, counts = np.frombuffer(f, np.int32), np.frombuffer(c, np.int8).astype(np.float64)
+                p = 1.0 if told else 0.0
+                if not told and odds is not None:
+                    p = round(1 / (1 + math.exp(-min(50.0, max(-50.0, prior + float((odds[feats] * counts).sum()))))) / GRAIN) * GRAIN
+                every[feats] += counts
+                if p:
+                    yes[feats] += p * counts
+                every[BUCKETS] += p
+                every[BUCKETS + 1] += told
+                every[BUCKETS + 2] += 1
+        seen = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(yes[seen]), pa.array(every[seen])], ["at", "yes", "every"])
+
+    sums = records.select("trust", "feats", "counts").mapInArrow(add, "at int, yes double, every double").groupBy("at").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every")).toArrow()
+    at, (yes, every) = sums["at"].to_numpy(), np.zeros((2, BUCKETS + 3))
+    yes[at], every[at] = sums["yes"].to_numpy(), sums["every"].to_numpy()
+    return yes[:BUCKETS], every[:BUCKETS], *(float(x) for x in every[BUCKETS:])
+
+
+def _learn_page(records: DataFrame, rounds: int) -> Model:
+    """The page model: trusted records stay positive; the others start as negative, and in each round count as positive by their posterior."""
+    odds, prior = None, 0.0
+    for turn in range(rounds):
+        yes, every, positive, sure, n = _page_sums(records, odds, prior)
+        if not sure:
+            return Model(np.zeros(BUCKETS, dtype=np.float32))
+        if odds is not None and turn + 1 < rounds and positive > DRIFT * sure:  # the class would no longer be what the trusted records state
+            break
+        margin = MARGIN if turn + 1 < rounds else FINAL_MARGIN
+        # Both classes lean on the word frequencies of all records, so a word new to a class counts little.
+        no, usual = every - yes, every * (BACKGROUND / max(1.0, every.sum()))
+        odds = np.log((yes + usual + 1e-12) / (yes.sum() + BACKGROUND)) - np.log((no + usual + 1e-12) / (no.sum() + BACKGROUND))
+        odds = np.clip(np.where(usual > 0, odds - margin, 0.0), -6.0, 6.0)
+        prior = math.log((positive + 1) / (n - positive + 1))
+    return Model(odds.astype(np.float32), prior)
+
+
+def _slot_sums(contexts: DataFrame, wanted: Callable[[str, int, int], bool]) -> dict[str, tuple[float, dict[int, float], dict[int, float]]]:
+    """For each value, the number of ``wanted`` contexts and how often each word stands before and after it."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([wanted(*x) for x in zip(*(b.column(k).to_pylist() for k in range(3)))], pa.bool_()))
+
+    sides = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("b").alias("word")), F.struct(F.lit("a").alias("side"), F.col("a").alias("word"))))
+    kept = contexts.mapInArrow(mark, "v string, b int, a int, c bigint").select("v", "c", sides.alias("x"))
+    out: dict[str, tuple[float, dict[int, float], dict[int, float]]] = {}
+    for r in kept.groupBy("v", "x.side", "x.word").agg(F.sum("c").alias("c")).collect():
+        n, left, right = out.get(r.v, (0.0, {}, {}))
+        (left if r.side == "b" else right)[r.word] = float(r.c)
+        out[r.v] = (n + (r.c if r.side == "a" else 0.0), left, right)
+    return out
 
 
-def fit(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn the models from at most about ``sample_rows`` records of ``df``."""
-    sample = _sampled(df, text, sample_rows).toArrow()
-    rows = list(zip(sample["trust"].to_pylist(), sample["feats"].to_pylist(), sample["counts"].to_pylist()))
-    contexts = Counter(c for own in sample["ctx"].to_pylist() for c in own)
-    return learn(rows, [(*k.split(" "), n) for k, n in contexts.items()])
+def _learn_slots(model: Model, contexts: DataFrame, rounds: int) -> None:
+    """Words around certain slots, and around each empty-value word where it is used as a word.
+
+    A word that is used in one collocation again and again is a word of the language there; that use
+    starts as negative, every other one as positive. The share decides; eight uses are the least that a
+    share can be told from, and bind only where the value occurs less than 32 times.
+    """
+    seen = _slot_sums(contexts, lambda v, b, a: True)
+    model.certain, model.before, model.after = seen.pop("", (0.0, {}, {}))
+    fixed = {(v, a) for v, (n, _, right) in seen.items() for a, c in right.items() if c >= 8 and c > 0.25 * n}
+    wanted = lambda v, b, a: (v, a) in fixed
+    for _ in range(rounds if fixed else 0):
+        natural = _slot_sums(contexts, wanted)
+        if natural == model.natural:
+            break
+        model.natural = natural
+        held = Model(np.zeros(0), 0.0, model.certain, model.before, model.after, natural)
+        wanted = lambda v, b, a, held=held: bool(v) and not held.is_slot_at(v, b, a)
+
+
+def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
+    """Learn both models by expectation-maximisation from every record of ``df``."""
+    records = _features(df, text)
+    model = _learn_page(records, rounds)
+    contexts = records.select(F.explode("ctx").alias("x")).groupBy("x.v", "x.b", "x.a").agg(F.count("*").alias("c"))
+    _learn_slots(model, materialise(contexts), rounds)
+    return model
 
 
-def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """``doc_id`` and ``kind`` ('slot' or 'page') of every record that is template residue or no content.
 
     Null, empty and blank texts are no cases. Repeated rows stay repeated. Texts are read whole. Other
     columns are never read. An empty table gives an empty result.
     """
-    held = model if model is not None else fit(df, text, sample_rows)
+    held = model if model is not None else fit(df, text)
     base = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

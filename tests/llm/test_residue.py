@@ -83,3 +83,16 @@ def test_slots_are_told_from_look_alikes():
         assert residue.slots(f"before {slot} after")[0], slot
     for text in ("outcomes {Yes, No}", "see [12] and [sic]", "[see section 4]", 'field "end_date"', "about 5% of 7%", "<b>bold</b>", "bracket <19 kg> is open", "a | b | c", "snake_case words"):
         assert not residue.slots(text)[0], text
+
+
+def test_every_record_takes_part_in_learning(spark):
+    def word(k):
+        return "".join(chr(97 + k // 26**i % 26) for i in range(4))
+
+    rows = [(k, f"venue {word(k)} settles {word(k)}") for k in range(24_000)] + [(k, "502 Bad Gateway") for k in range(24_000, 24_050)]
+    # A hot text and a notice whose wording stands in a few records only.
+    rows += [(k, "The contract closes early.") for k in range(25_000, 37_000)] + [(37_000 + k, "502 Bad Gateway\nquorvex ziltane") for k in range(5)]
+    model = residue.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert all(model.page[residue._bucket(word(k))] < 0 for k in range(24_000))
+    assert model.page[residue._bucket("quorvex")] > 0 and model.page[residue._bucket("ziltane")] > 0
+    assert model.page[residue._bucket("contract")] < 0
