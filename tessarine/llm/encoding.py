@@ -145,9 +145,8 @@ def _text_from(parts: list[dict], at: int, end: int) -> tuple[str, int]:
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """``doc_id`` and ``ids`` (list of int) of every row.
 
-    Null and empty texts get the empty list. A row with a null id keeps its row. Repeated rows of
-    short texts give repeated rows; rows that repeat both the id and a long text give one row.
-    Other columns are never read. An empty table gives an empty result.
+    Null and empty texts get the empty list. A row with a null id keeps its row. Repeated rows stay
+    repeated, whatever their length. Other columns are never read. An empty table gives an empty result.
     """
     if not 0 < overlap_chars <= chunk_chars:
         raise ValueError("overlap_chars must be positive and at most chunk_chars")
@@ -182,8 +181,9 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
 
     def join(group: pa.Table) -> pa.Table:
         rows = {r["__k"]: r for r in group.to_pylist()}
+        times = group.column("__k").to_pylist().count(0)  # a row that is delivered again brings its first chunk again
         parts = [{"start": r["__start"], "text": r["__part"], "cuts": r["__cuts"], "counts": r["__counts"], "ids": r["__ids"]} for _, r in sorted(rows.items())]
-        return pa.table([group.column("__id")[:1], pa.array([stitch(parts, path)], pa.list_(pa.int32()))], names=["__id", "__ids"])
+        return pa.table([group.column("__id").take(pa.array([0] * times)), pa.array([stitch(parts, path)] * times, pa.list_(pa.int32()))], names=["__id", "__ids"])
 
     done = spread(base.where(~long)).mapInArrow(short_ones, f"__id {kind}, __ids array<int>")
     cuts = f"__id {kind}, __key string, __k int, __n int, __start bigint, __part string"

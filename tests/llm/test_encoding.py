@@ -51,3 +51,11 @@ def test_corpus_with_every_odd_row(spark, twin):
 def test_empty_table(spark):
     df = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert encoding.encode_corpus(df).count() == 0
+
+
+def test_repeated_long_texts_stay_repeated(spark, twin):
+    long = "many words here " * 400
+    rows = [(1, long), (1, long), (None, long), (None, long), (None, long), (2, "word"), (2, "word")]
+    got = encoding.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), chunk_chars=200, overlap_chars=50).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 0, 1, 1, 2, 2]
+    assert all(r.ids == twin("word" if r.doc_id == 2 else long) for r in got)
