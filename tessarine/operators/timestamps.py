@@ -1,8 +1,8 @@
 """Timestamps in mixed formats, precisions and zones, brought to UTC instants.
 
 Each text is reduced to a shape mask: digits become ``9`` (one each), known words become their class,
-everything else stays. A mask is mapped to a parser once per worker; all texts of one mask are then
-converted together with NumPy. Wall times go through transition tables of the IANA database, whose
+everything else stays. Texts that differ in digits alone are tokenised once. A mask is mapped to a parser once
+per worker; all texts of one mask are then converted together with NumPy. Wall times go through transition tables of the IANA database, whose
 version is fixed on the driver and checked on every worker.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import importlib.resources
+import operator
 import re
 import zoneinfo
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,12 @@ ABBREVIATIONS = {
     "AKST": -540, "AKDT": -480, "HST": -600,
 }
 US_ZONES = {"ET": "America/New_York", "CT": "America/Chicago", "MT": "America/Denver", "PT": "America/Los_Angeles"}
-#: Years whose transitions are tabled; before and after, the nearest known offset holds.
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Years whose transitions are tabled. Before them the first offset holds; after them the calendar and the rules
+#: repeat every 400 years.
+FIRST_YEAR, LAST_YEAR = 1850, 2450
+_CYCLE = 146_097 * 86_400
+#: Longest mask that is remembered; no grammar reaches it.
+_LONG = 400
 
 _WORD = re.compile(r"[A-Za-z]+(?:[/_+-][A-Za-z_]+)*(?:/[A-Za-z_+-]+\d*)*|\d+|\s+|.", re.S)
 _MONTH = {m: k + 1 for k, full in enumerate(MONTHS) for m in (full, full[:3])} | {"sept": 9}
@@ -92,7 +98,7 @@ def transitions(name: str, version: str) -> tuple[np.ndarray, np.ndarray] | None
     def offset(second: int) -> int:
         return int(dt.datetime.fromtimestamp(second, utc).astimezone(zone).utcoffset().total_seconds())
 
-    first, last, step = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR, FIRST_YEAR))
+    first, last = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR))
     step = 7 * 86_400
     bounds, offsets = [], [offset(first)]
     for at in range(first, last, step):
@@ -108,26 +114,44 @@ def transitions(name: str, version: str) -> tuple[np.ndarray, np.ndarray] | None
     return np.array(bounds, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
-def shape(text: str) -> tuple[str, list[str]]:
-    """The mask of a text and the words that its letters stand for, in order."""
-    out, words = [], []
-    for part in _WORD.findall(text.strip()):
+def shape(text: str) -> tuple[str, dict[str, list[str]], list[int] | None]:
+    """The mask of a text, its words by their class, and the places in the text that line up with the mask.
+
+    The places are None where the whole text does.
+    """
+    out, words, places, at = [], {}, [], 0
+    for part in _WORD.findall(text):
+        first, step = at, 1
+        at += len(part)
         if part[0].isdigit() and part.isascii():
             out.append("9" * len(part))
+            step = len(part)
         elif part[0].isspace():
             out.append(" ")
         elif not part[0].isalpha():
             out.append(part)
+            step = len(part)
         else:
             low = part.lower()
             kind = (
                 "M" if low in _MONTH else "W" if low in _DAY else "P" if low in ("am", "pm") else "T" if low == "t" else "Z" if low == "z"
-                else "K" if low == "at" else "U" if part.upper() in US_ZONES else "A" if part.upper() in ABBREVIATIONS else "R" if "/" in part else part
+                else "K" if low == "at" else "U" if part.upper() in US_ZONES else "A" if part.upper() in ABBREVIATIONS else "R" if "/" in part else "x" * len(part)
             )
             out.append(kind)
+            step = len(kind)
             if kind in ("M", "P", "U", "A", "R"):
-                words.append(part)
-    return "".join(out), words
+                words.setdefault(kind, []).append(part)
+        places += range(first, first + step)
+    return "".join(out), words, None if len(places) == len(text) else places
+
+
+_DIGITS = str.maketrans("012345678", "9" * 9)
+
+
+@functools.lru_cache(maxsize=65_536)
+def _known_shape(digitless: str) -> tuple[str, dict[str, list[str]], Callable | None]:
+    mask, words, places = shape(digitless)
+    return mask, words, None if places is None else operator.itemgetter(*places) if len(places) > 1 else lambda t, p=places: t[p[0]]
 
 
 @functools.lru_cache(maxsize=65_536)
@@ -169,41 +193,38 @@ def to_micros(texts: pd.Series, zones: pd.Series, version: str) -> np.ndarray:
     """Microseconds since the epoch in UTC of each text, as nullable integers held in objects."""
     result = np.full(len(texts), None, dtype=object)
     groups: dict[str, list[int]] = {}
-    held: dict[int, list[str]] = {}
-    values = texts.to_numpy(dtype=object)
+    lined: dict[int, str] = {}
+    held: dict[int, dict[str, list[str]]] = {}
+    values, own = texts.to_numpy(dtype=object), zones.to_numpy(dtype=object)
     for k, text in enumerate(values):
-        if isinstance(text, str) and 0 < len(text) <= 100:
-            mask, words = shape(text)
-            held[k] = words
+        if isinstance(text, str) and (text := text.strip()):
+            like = text.translate(_DIGITS)
+            mask, held[k], pick = (_known_shape if len(like) <= _LONG else _known_shape.__wrapped__)(like)
+            if any("9" in w for w in held[k].get("R", ())):  # a zone name with digits of its own
+                held[k] = shape(text)[1]
+            lined[k] = text if pick is None else "".join(pick(text))
             groups.setdefault(mask, []).append(k)
     for mask, rows in groups.items():
-        if (how := parser(mask)) is None:
+        if (how := (parser if len(mask) <= _LONG else parser.__wrapped__)(mask)) is None:
             continue
         kind, spans = how
         if kind == "number":
-            for k, v in zip(rows, _numbers([values[k] for k in rows])):
+            for k, v in zip(rows, _numbers([lined[k] for k in rows])):
                 result[k] = int(v)
             continue
-        micros, valid = _convert(kind, spans, mask, rows, values, held, zones, version)
+        micros, valid = _convert(kind, spans, mask, [lined[k] for k in rows], [held[k] for k in rows], [own[k] for k in rows], version)
         for k, v, ok in zip(rows, micros.tolist(), valid.tolist()):
             if ok:
                 result[k] = v
     return result
 
 
-def _masked(text: str) -> str:
-    """The text with each word replaced by one letter, so that it lines up with its mask."""
-    return "".join(p if p[0].isdigit() else " " if p[0].isspace() else "a" if p[0].isalpha() else p for p in _WORD.findall(text.strip()))
-
-
-def _convert(kind, spans, mask, rows, values, held, zones, version) -> tuple[np.ndarray, np.ndarray]:
+def _convert(kind: str, spans: dict, mask: str, lined: list[str], held: list[dict[str, list[str]]], zones: list, version: str) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds and validity of all texts of one mask."""
-    lined = [_masked(values[k]).encode("latin-1", "replace") for k in rows]
-    chars = np.frombuffer(b"".join(lined), dtype=np.uint8).reshape(len(rows), len(mask))
+    chars = np.frombuffer("".join(lined).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(lined), len(mask))
     get = lambda name, default=0: _field(chars, spans.get(name), default)
-    order = [m for m in mask if m in "MPUAR"]
-    word = lambda letter: [held[k][order.index(letter)] for k in rows]
-    own = np.array([zones.iloc[k] if isinstance(zones.iloc[k], str) and zones.iloc[k] else "UTC" for k in rows], dtype=object)
+    word = lambda letter: [h[letter][0] for h in held]
+    own = np.array([z if isinstance(z, str) and z else "UTC" for z in zones], dtype=object)
     year, day = get("y"), get("d", 1)
     month = np.array([_MONTH[w.lower()] for w in word("M")], dtype=np.int64) if "mon" in spans else get("mo", 1)
     if kind == "slash":
@@ -220,12 +241,12 @@ def _convert(kind, spans, mask, rows, values, held, zones, version) -> tuple[np.
     date = months.astype("datetime64[M]").astype("datetime64[D]") + (np.where(valid, day, 1) - 1)
     valid &= date.astype("datetime64[M]").astype(np.int64) == months
     wall = date.astype(np.int64) * 86_400 + hour * 3600 + minute * 60 + second
-    part = np.zeros(len(rows), dtype=np.int64)
+    part = np.zeros(len(lined), dtype=np.int64)
     if "f" in spans:
         a, b = spans["f"]
         b = min(b, a + 6)
         part = _field(chars, (a, b)) * 10 ** (6 - (b - a))
-    offset = np.zeros(len(rows), dtype=np.int64)
+    offset = np.zeros(len(lined), dtype=np.int64)
     named: np.ndarray | None = None
     if "z" in spans:
         pass
@@ -248,17 +269,23 @@ def _convert(kind, spans, mask, rows, values, held, zones, version) -> tuple[np.
             if table is None:
                 valid &= ~here
             else:
-                offset[here] = table[1][np.searchsorted(table[0], wall[here], side="right")]
+                offset[here] = table[1][np.searchsorted(table[0], _tabled(wall[here]), side="right")]
     return (wall - offset) * 1_000_000 + part, valid
 
 
+def _tabled(wall: np.ndarray) -> np.ndarray:
+    """Wall times after the tabled years, moved back by whole cycles of the calendar."""
+    last = (LAST_YEAR - 1970) * 365.2425 * 86_400
+    return wall - np.maximum(0, np.ceil((wall - last) / _CYCLE)).astype(np.int64) * _CYCLE
+
+
 def utc_instant(text: Column, zone: Column) -> Column:
     """A UTC timestamp for a time in text, null where the text is no time.
 
     A text without zone is in ``zone``, or in UTC where that is null or empty. Dates with slashes and
     the year last are month first where ``zone`` is in America/, day first elsewhere. Fractions are
-    cut to microseconds. Null, blank, impossible dates, unknown zones and texts of over 100
-    characters give null; 24:00 is the midnight that ends the day.
+    cut to microseconds. Null, blank, impossible dates, unknown zones and all other texts give null,
+    whatever their length; 24:00 is the midnight that ends the day.
     """
     version = tz_version()
 

@@ -39,7 +39,12 @@ CASES = [
     ("20260326", "Europe/Berlin", "2026-03-25 23:00:00"),
     ("2027-11-22", None, "2027-11-22 00:00:00"),
     ("2028-08-10T24:00:00Z", None, "2028-08-11 00:00:00"),
-    *[(bad, None, None) for bad in ("", " ", "TBD", "n/a", "-", "2027-13-01 10:00", "2027-02-30T00:00:00Z", "0000-00-00", "see rules", "NaT", "2027-01-01 25:00", "1" * 200, "2027-01-01 10:00 Nowhere/Land")],
+    *[(bad, None, None) for bad in ("", " ", "TBD", "n/a", "-", "2027-13-01 10:00", "2027-02-30T00:00:00Z", "0000-00-00", "see rules", "NaT", "2027-01-01 25:00", "1" * 200, "2027-01-01 10:00 Nowhere/Land", "5 M 2027", "5 P", "İ" * 50, "T" * 100_000, "9-" * 50_000)],
+    ("2027-11-22 10:00" + " " * 150, None, "2027-11-22 10:00:00"),
+    ("2027-11-22 10:00:00." + "1" * 150, None, "2027-11-22 10:00:00.111111"),
+    ("1960-07-04 12:00", "America/New_York", "1960-07-04 16:00:00"),
+    ("2105-07-04 12:00", "America/New_York", "2105-07-04 16:00:00"),
+    ("2905-07-04 12:00", "Europe/Berlin", "2905-07-04 10:00:00"),
     (None, "UTC", None),
 ]
 
