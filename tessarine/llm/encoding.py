@@ -1,8 +1,8 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Texts of up to ``chunk_chars`` characters are encoded where they are read. Longer ones are cut into
-overlapping chunks that are spread over the cluster; each chunk is pre-tokenised and its pieces are
-encoded on their own. A match of the pre-tokenising pattern depends only on the text from its start
+Texts are cut into overlapping chunks of ``chunk_chars`` characters. Those of one chunk are encoded
+where they are read; the chunks of longer ones are spread over the cluster, each is pre-tokenised and its
+pieces are encoded on their own. A match of the pre-tokenising pattern depends only on the text from its start
 on, so two chunks that share one boundary inside their overlap agree from there on: that is where
 they are stitched. A stretch without any shared boundary (one giant word) is pre-tokenised again
 from the last certain boundary, so the ids always equal those of the whole text.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from tessarine.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 2_048
+CHUNK_CHARS = 4_096
+OVERLAP_CHARS = 256
+#: Pieces whose ids a worker remembers, and characters up to which it does.
+PIECES, PIECE_CHARS = 100_000, 32
 #: Fixed value: the pre-tokenising pattern that belongs to the published vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,6 +69,12 @@ def decode(ids: Sequence[int], path: str = TOKENIZER) -> str:
     return tokenizer(path).decode_bytes(list(ids)).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=PIECES)
+def _remembered(path: str, piece: str) -> list[int]:
+    """Ids of a short piece; words come again and again."""
+    return tokenizer(path).encode_ordinary(piece)
+
+
 def boundaries(text: str) -> list[int]:
     """Starts of the pre-tokens of ``text``, and its length."""
     return [m.start() for m in _splitter().finditer(text)] + [len(text)]
@@ -85,9 +93,9 @@ def pieces(text: str, last: bool, path: str) -> tuple[list[int], list[int], list
     cuts = boundaries(text)
     if not last:
         cuts = cuts[:-1]
-    bpe, ids, counts = tokenizer(path), [], []
+    ids, counts = [], []
     for a, b in zip(cuts, cuts[1:]):
-        own = bpe.encode_ordinary(text[a:b])
+        own = _remembered(path, text[a:b]) if b - a <= PIECE_CHARS else tokenizer(path).encode_ordinary(text[a:b])
         ids += own
         counts.append(len(own))
     return cuts, counts, ids
@@ -163,14 +171,14 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = _digest(content)
-                whole = chunks(clean(content), chunk_chars, overlap_chars)
-                for k, (start, part) in enumerate(whole):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([one], batch.schema.field(0).type), pa.array([key]), pa.array([k], pa.int32()), pa.array([len(whole)], pa.int32()), pa.array([start], pa.int64()), pa.array([part])],
-                        ["__id", "__key", "__k", "__n", "__start", "__part"],
-                    )
+            rows, out = [], [[] for _ in range(5)]
+            for k, content in enumerate(batch.column(1).to_pylist()):
+                key, whole = _digest(content), chunks(clean(content), chunk_chars, overlap_chars)
+                rows += [k] * len(whole)
+                for field, values in zip(out, ([key] * len(whole), range(len(whole)), [len(whole)] * len(whole), [w[0] for w in whole], [w[1] for w in whole])):
+                    field += values
+            arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["__id", "__key", "__k", "__n", "__start", "__part"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,11 +46,15 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+#: Scraped texts never share a container with the feed that settles contracts.
+APART = [("crawl", "settlement_feed")]
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container for every document, under each of the token budgets."""
     # The budgets are a fixed table of a few rows.
     budgets = [(r.budget_id, r.capacity_tokens) for r in table(spark, sf_dir, "token_budget").select("budget_id", "capacity_tokens").distinct().collect()]
-    return packing.pack(table(spark, sf_dir, "documents"), sorted(budgets))
+    return packing.pack(table(spark, sf_dir, "documents"), sorted(budgets), apart=APART)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
