@@ -62,6 +62,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many residue records are found by what, and how many of them the learning started from."""
+    return residue.find_residue(table(spark, sf_dir, "documents")).groupBy("kind", "trusted").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
+    "p9_kinds": p9_kinds,
 }
 
 ORACLE_SQL: dict[str, str] = {

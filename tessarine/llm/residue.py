@@ -3,12 +3,15 @@
 Two positive-unlabelled naive Bayes models are learned by expectation-maximisation on all
 records; in each round every task adds up its records, and sums of fixed size reach the driver:
 
-* the *page* model starts from trusted records that are, as a whole, an error, a filler text or a
-  notice. It gives every passage a log-odds; a record is residue if its passages together speak for
-  it and none of them speaks for real content, whatever page chrome stands around them;
+* the *page* model starts from few trusted records: short ones that are little but a status code, a word of
+  scripts or errors, or a filler word. The rounds find the others by the words they share with those. It gives
+  every passage a log-odds; a record is residue if its passages together speak for it and none of them speaks
+  for real content, whatever page chrome stands around them;
 * the *slot* model starts from trusted placeholders (a name in template brackets). It decides by the
   words around it whether a bare ``null``, ``None``, ``NaN`` or ``undefined`` is the empty value of a
   program or a word of the sentence. One unfilled slot makes a record residue.
+
+Texts are tokenised once: what the models need of them is kept in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -29,22 +32,19 @@ from tessarine.session import materialise, spread
 
 #: Hash buckets of the words of either model.
 BUCKETS = 1 << 18
-ROUNDS = 6
+ROUNDS = 12
 #: Posteriors are multiples of this, so that their sums are exact in whatever order they are added.
 GRAIN = 2.0**-20
 #: Log-odds under which a passage speaks for real content.
 CONTENT = -10.0
 #: Weight, in words, of the overall word frequencies in the estimate of either class.
 BACKGROUND = 300.0
-#: Log-odds that a word must reach before it speaks for residue, so that a few records which are
-#: trusted in error cannot win over the texts they resemble.
-MARGIN, FINAL_MARGIN = 1.5, 0.5
+#: Log-odds that a word must reach, while the class is learned, before it speaks for residue.
+MARGIN = 0.5
 #: Learning ends once the positive class is this many times as large as its trusted part.
-DRIFT = 6.0
-#: Longer records are not trusted unread; they may still be found.
-TRUST_CHARS = 600
-#: Characters under which a passage of a trusted record may say anything (25 with a number in it).
-PHRASE = 36
+DRIFT = 8.0
+#: Longer records are not trusted unread, and what trusts them must be this share of them; they may still be found.
+TRUST_CHARS, TRUST_SHARE = 150, 0.8
 
 _NAME = r"(?:[A-Za-z][A-Za-z0-9_]*(?:[. ][A-Za-z][A-Za-z0-9_]*){0,3})"
 # Ways in which template languages write a slot, by a string that each must contain.
@@ -70,31 +70,23 @@ SLOTS = {
 ANGLE = r"<(" + _NAME + r")>"
 MARKUP = set("html head title body center h1 h2 h3 h4 h5 h6 p br hr b i u em strong a div span table tr td th ul ol li img pre code script style meta link form input button".split())
 EMPTY_VALUES = r"(?<![A-Za-z0-9_\"'<-])(null|NULL|None|NONE|NaN|NAN|undefined|UNDEFINED|nil|NIL)(?![A-Za-z0-9_\"'>-])"
-# Wording of records that are trusted to be residue, when nothing else stands in them.
+# What makes a short record trusted to be residue where little else stands in it.
 TRUSTED = [
-    r"(?:enable|activate|turn on|switch on|allow|need|require|without|activer|activez|habilit|activ[ae]|ative|aktivier|有効)[^.!。]{0,60}(?:javascript|\bjs\b|scripts?\b|scripting|cookies?)",
-    r"(?:javascript|\bjs\b|scripts?|scripting|cookies?)[^.!。]{0,40}(?:required|requires?|disabled|blocked|turned off|switched off|enable|activ|accept)",
-    r"(?:accept|require)[^.!]{0,20}cookies", r"(?:verify|checking|confirm|prove)[^.!]{0,40}(?:human|robot|browser|connection)", r"\bcaptcha\b",
-    r"^\W*(?:http )?[45]\d\d\b", r"\b[45]\d\d (?:not found|forbidden|unauthorized|bad gateway|gone|too many requests|internal server error|service unavailable|gateway timeout)",
-    r"^traceback \(most recent", r"^[\w.]+exception:", r"^at [\w.]+\(", r"^file \"[\w.]+\", line", r"^\w*error: ", r"^\{\s*\"(?:error|status|ok|code|message|fault|errors)\"", r"<title>\s*[45]\d\d",
-    r"\berr_[a-z_]+\b", r"(?:page|resource|document)[^.!]{0,40}(?:not found|could not be found|cannot be found|does not exist)",
-    r"(?:página no encontrada|página não encontrada|page introuvable|seite nicht gefunden|ページが見つかりません)",
-    r"(?:ha ocurrido|ocorreu|s'est produite?|erreur est survenue|fehler ist aufgetreten|エラーが発生)", r"(?:temporalmente|temporariamente|temporairement|vorübergehend|ただいま)[^.!。]{0,30}(?:disponible|indispon|nicht|利用)",
-    r"session has expired", r"scheduled maintenance", r"rate limited", r"not available in your (?:region|country)", r"you do not have permission", r"(?:market|event|listing|page|chart|stream|document) (?:failed to load|timed out)", r"too many requests", r"no data received", r"something went wrong", r"upstream", r"connection (?:timed out|refused|reset)",
-    r"(?:\b(?:lorem|ipsum|dolor|sit|amet|elit|magna|sem|risus|nibh|congue|viverra|laoreet|velit|tempor|porta|varius|mauris|justo|felis|arcu|quis|nunc)\b\W*){4}", r"(?:xxx+ ){2}", r"\basdf\b", r"\bfoo bar\b", r"\btest test\b", r"\btext text\b",
-    r"(?:goes|headline|text|summary|title|caption)\b[^.]{0,25}\b(?:here|at this spot|below)\b", r"(?:dummy|sample|filler|placeholder) (?:text|paragraph)", r"(?:beispieltext|texto de ejemplo|texto de exemplo|texte à remplacer|ダミーテキスト)",
-    r"\brules to be written\b", r"copy to follow",
+    r"\bjavascript\b", r"\bcookies\b", r"\bcaptcha\b", r"\bhuman\b", r"\bscripts?\b", r"^traceback", r"exception:", r"^\s*file \"[^\"]+\", line", r"\w+error:", r"\berr_[a-z_]+\b", r"\bupstream\b",
+    r"^\W*(?:http |error )?[45]\d\d\b", r"\(?(?:code|status|error):? [45]\d\d\b", r"[(\[][45]\d\d\b", r"<title>\s*[45]\d\d\b",
+    r"\b(?:error|erreur|fehler|erro)\b", r"エラー", r"\baccess denied\b", r"\bsession (?:has )?expired\b", r"\brate limited\b", r"\bwent wrong\b", r"\bmaintenance\b", r"\bdata received\b", r"\bin your region\b",
+    r"\blorem\b", r"\basdf\b", r"\bfoo bar\b", r"\bdummy\b", r"\bplaceholder\b", r"\b(?:your|insert|add) (?:[a-z]+ ){1,4}(?:here|at this spot|below|in this box)\b",
 ]
 
 _SLOT = {k: re.compile("|".join(f"(?:{s})" for s in every)) for k, every in SLOTS.items()}
 _ANGLE, _EMPTY = re.compile(ANGLE), re.compile(EMPTY_VALUES)
 _TRUST = re.compile("|".join(f"(?:{t})" for t in TRUSTED), re.I)
-#: A token, or the end of a passage: a line, a sentence, a wide gap or a menu bar.
+#: The end of a passage (a line, a sentence, a wide gap or a menu bar), a number, a word, or a run of one sign.
 _TOKEN = re.compile(
-    r"(?P<end>(?<=[.!?])[)\]\"”]?\s+|[。！？]|\s*[\r\n]+\s*|\s{2,}|\s[|]\s|\s-\s(?=[A-Z]))|(?P<num>\d+(?:[.,:]\d+)*)|(?P<word>[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W\d_\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]+)|(?P<sign>[^\w\s])\s*(?P=sign)*|_+",
+    r"(?:(?<=[.!?])|(?<=[.!?][)\]\"”]))\s+|[。！？]+\s*|\s*[\r\n]+\s*|\s{2,}|\s[|]\s|\s-\s(?=[a-z])"
+    r"|\d+(?:[.,:]\d+)*|[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W\d_\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]+|(?:([^\w\s。！？])(?:\s?\1)*)|_+",
 )
 _LINES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+|\s{2,}|\s[|]\s")
-_DIGIT = re.compile(r"\d")
 _AROUND = re.compile(r"[^\W_]+|[^\s\w]")
 
 
@@ -103,35 +95,62 @@ def _bucket(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def passages(text: str) -> list[np.ndarray]:
-    """Feature buckets of the passages of a text: its lines, sentences and menu entries.
+#: Marks of a feature beside its bucket: one of the first three of its kind in the record, a single word, the last of a passage.
+EARLY, WORD, LAST = 1 << 18, 1 << 19, 1 << 20
 
-    Words count in lower case, numbers only as numbers (status codes as codes), each with the word
-    before it as well.
-    """
-    out: list[np.ndarray] = []
-    own: list[int] = []
-    code, number = _bucket("<code>"), _bucket("<num>")
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind == "end":
-            if own:
-                out.append(_pairs(own))
-                own = []
-        elif kind == "num":
-            w = m.group()
-            own.append(code if len(w) == 3 and w[0] in "45" else number)
+
+class _Codes(dict):
+    """The bucket of each token, -1 for the end of a passage. Forgets all when full."""
+
+    def __missing__(self, token: str) -> int:
+        first = token[0]
+        if first.isspace() or first in "。！？":
+            code = -1
+        elif first.isdecimal():
+            code = _bucket("<code>" if len(token) == 3 and first in "45" else "<num>")
         else:
-            w = m.group()
-            own.append(_bucket(w[0] if kind == "sign" else w.lower()))
-    if own:
-        out.append(_pairs(own))
-    return out
+            code = _bucket(token if first.isalpha() else first)
+        if len(self) >= 200_000:
+            self.clear()
+        self[token] = code
+        return code
+
+
+_CODES = _Codes()
 
 
-def _pairs(own: list[int]) -> np.ndarray:
-    one = np.array(own, dtype=np.int64)
-    return np.concatenate([one, (one[:-1] * 1_000_003 + one[1:] * 31 + 7) % BUCKETS])
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all texts (bucket and marks) in order, and how many each text has.
+
+    Words count in lower case, numbers only as numbers (status codes as codes), each with the word
+    before it in the same passage as well.
+    """
+    codes, own = _CODES, []
+    for text in texts:
+        own.append([codes[m.group()] for m in _TOKEN.finditer(text.lower())] + [-1])
+    sizes = np.array([len(o) for o in own], dtype=np.int64)
+    flat = np.fromiter((c for o in own for c in o), dtype=np.int64, count=int(sizes.sum()))
+    rec = np.repeat(np.arange(len(own)), sizes)
+    ends = flat < 0
+    words = np.flatnonzero(~ends)
+    w, r = flat[words], rec[words]
+    passage = np.cumsum(ends)[words]
+    joined = passage[1:] == passage[:-1]
+    second = np.flatnonzero(joined) + 1
+    pairs = (w[second - 1] * 1_000_003 + w[second] * 31 + 7) % BUCKETS
+    # Words and pairs of a passage follow one another.
+    code = np.concatenate([w | WORD, pairs])
+    where = np.concatenate([passage, passage[second]])
+    order = np.argsort(where, kind="stable")
+    code, where, r = code[order], where[order], np.concatenate([r, r[second]])[order]
+    if len(code):
+        code[np.append(where[1:] != where[:-1], True)] |= LAST
+        like = np.lexsort((np.arange(len(code)), code & (BUCKETS - 1), r))
+        key = r[like] * BUCKETS + (code[like] & (BUCKETS - 1))
+        start = np.append(True, key[1:] != key[:-1])
+        rank = np.arange(len(key)) - np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+        code[like[rank < 3]] |= EARLY
+    return code.astype(np.int32), np.bincount(r, minlength=len(own)) if len(own) else np.zeros(0, np.int64)
 
 
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
@@ -152,12 +171,11 @@ def slots(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]
 
 
 def trusted(text: str) -> bool:
-    """Some passage of the record says that it is residue, and no other one is longer than a short phrase."""
+    """A short record of which nearly everything stands in passages that speak of an error, of scripts or of filler."""
     if len(text) > TRUST_CHARS:
         return False
     parts = [p for p in _LINES.split(text) if p.strip()]
-    says = [bool(_TRUST.search(p)) for p in parts]
-    return any(says) and all(told or len(p) < PHRASE and not (len(p) >= 25 and _DIGIT.search(p)) for p, told in zip(parts, says)) and 2 * sum(says) + 3 >= len(parts)
+    return bool(parts) and sum(len(p) for p in parts if _TRUST.search(p)) >= TRUST_SHARE * sum(map(len, parts))
 
 
 @dataclass
@@ -171,16 +189,16 @@ class Model:
     after: dict[int, float] = field(default_factory=dict)
     natural: dict[str, tuple[float, dict[int, float], dict[int, float]]] = field(default_factory=dict)
 
-    def passage_scores(self, text: str) -> list[tuple[float, int]]:
-        """Log-odds and number of words of each passage."""
-        return [(float(self.page[ids].sum()), (len(ids) + 1) // 2) for ids in passages(text)]
-
-    def is_page(self, text: str) -> bool:
-        scores = self.passage_scores(text)
-        if sum(n for _, n in scores) < 2:
-            return False
-        # Real content: a passage of at least three words that speaks against residue.
-        return sum(s for s, _ in scores) + self.prior > 0 and not any(s < CONTENT and n >= 3 for s, n in scores)
+    def are_pages(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the passages of each record speak for residue, and none of at least three words against it."""
+        n = len(sizes)
+        odds, word, last = self.page[code & (BUCKETS - 1)].astype(np.float64), (code & WORD) > 0, (code & LAST) > 0
+        rec = np.repeat(np.arange(n), sizes)
+        passage = np.cumsum(last) - last
+        score, words = np.bincount(passage, odds), np.bincount(passage, word)
+        against = np.zeros(n, dtype=bool)
+        against[rec[last][(score < CONTENT) & (words >= 3)]] = True
+        return (np.bincount(rec, word, minlength=n) >= 2) & (np.bincount(rec, odds, minlength=n) + self.prior > 0) & ~against
 
     def is_slot(self, value: str, before: str, after: str) -> bool:
         return self.is_slot_at(value, _bucket(before), _bucket(after))
@@ -197,29 +215,34 @@ class Model:
 
     def is_residue(self, text: str) -> bool:
         certain, maybe = slots(text)
-        return bool(certain) or any(self.is_slot(*m) for m in maybe) or self.is_page(text)
+        return bool(certain) or any(self.is_slot(*m) for m in maybe) or bool(self.are_pages(*features([text]))[0])
 
 
-def _features(df: DataFrame, text: str) -> DataFrame:
-    """Whether a record is trusted, its distinct features, their counts up to 3, and the contexts of its slots."""
+def _features(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, whether a record is trusted, its features, and the contexts of its slots."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"trust": [], "feats": [], "counts": [], "ctx": []}
-            for t in batch.column(0).to_pylist():
-                own = passages(t)
-                feats, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64),) * 2
+            texts = batch.column(1).to_pylist()
+            code, sizes = features(texts)
+            raw, ends = code.tobytes(), np.cumsum(sizes) * 4
+            trust, ctx = [], []
+            for t in texts:
                 certain, maybe = slots(t)
-                out["trust"].append(not certain and trusted(t))
-                out["feats"].append(feats.astype(np.int32).tobytes())
-                out["counts"].append(np.minimum(counts, 3).astype(np.int8).tobytes())
-                out["ctx"].append([{"v": v, "b": _bucket(b), "a": _bucket(a)} for v, b, a in [*(("", *c) for c in certain), *maybe]])
-            arrays = [pa.array(out["trust"], pa.bool_()), pa.array(out["feats"], pa.binary()), pa.array(out["counts"], pa.binary()), pa.array(out["ctx"], pa.list_(context))]
-            yield pa.RecordBatch.from_arrays(arrays, ["trust", "feats", "counts", "ctx"])
+                trust.append(not certain and trusted(t))
+                ctx.append([{"v": v, "b": _bucket(b), "a": _bucket(a)} for v, b, a in [*(("", *c) for c in certain), *maybe]])
+            feats = pa.array([raw[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trust, pa.bool_()), feats, pa.array(ctx, pa.list_(context))], ["id", "trust", "feats", "ctx"])
 
     context = pa.struct([("v", pa.string()), ("b", pa.int32()), ("a", pa.int32())])
-    base = df.select(F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
-    return materialise(spread(base).mapInArrow(featurise, "trust boolean, feats binary, counts binary, ctx array<struct<v: string, b: int, a: int>>"))
+    base = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
+    return materialise(spread(base).mapInArrow(featurise, f"id {dict(df.dtypes)[doc_id]}, trust boolean, feats binary, ctx array<struct<v: string, b: int, a: int>>"))
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all records of a batch, and how many each has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.int32), np.array([len(x) // 4 for x in raw], dtype=np.int64)
 
 
 def _page_sums(records: DataFrame, odds: np.ndarray | None, prior: float) -> tuple[np.ndarray, np.ndarray, float, float, float]:
@@ -231,21 +254,23 @@ def _page_sums(records: DataFrame, odds: np.ndarray | None, prior: float) -> tup
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yes, every = np.zeros(BUCKETS + 3), np.zeros(BUCKETS + 3)
         for batch in batches:
-            for told, f, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                feats, counts = np.frombuffer(f, np.int32), np.frombuffer(c, np.int8).astype(np.float64)
-                p = 1.0 if told else 0.0
-                if not told and odds is not None:
-                    p = round(1 / (1 + math.exp(-min(50.0, max(-50.0, prior + float((odds[feats] * counts).sum()))))) / GRAIN) * GRAIN
-                every[feats] += counts
-                if p:
-                    yes[feats] += p * counts
-                every[BUCKETS] += p
-                every[BUCKETS + 1] += told
-                every[BUCKETS + 2] += 1
+            if not batch.num_rows:
+                continue
+            code, sizes = _unpacked(batch.column(1))
+            told = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            early = (code & EARLY) > 0
+            rec, bucket = np.repeat(np.arange(len(sizes)), sizes)[early], code[early] & (BUCKETS - 1)
+            p = told.astype(np.float64)
+            if odds is not None:
+                score = np.clip(prior + np.bincount(rec, odds[bucket], minlength=len(sizes)), -50.0, 50.0)
+                p = np.where(told, 1.0, np.round(1 / (1 + np.exp(-score)) / GRAIN) * GRAIN)
+            every[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+            yes[:BUCKETS] += np.bincount(bucket, p[rec], minlength=BUCKETS)
+            every[BUCKETS:] += (p.sum(), told.sum(), len(sizes))
         seen = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(yes[seen]), pa.array(every[seen])], ["at", "yes", "every"])
 
-    sums = records.select("trust", "feats", "counts").mapInArrow(add, "at int, yes double, every double").groupBy("at").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every")).toArrow()
+    sums = records.select("trust", "feats").mapInArrow(add, "at int, yes double, every double").groupBy("at").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every")).toArrow()
     at, (yes, every) = sums["at"].to_numpy(), np.zeros((2, BUCKETS + 3))
     yes[at], every[at] = sums["yes"].to_numpy(), sums["every"].to_numpy()
     return yes[:BUCKETS], every[:BUCKETS], *(float(x) for x in every[BUCKETS:])
@@ -253,20 +278,23 @@ def _page_sums(records: DataFrame, odds: np.ndarray | None, prior: float) -> tup
 
 def _learn_page(records: DataFrame, rounds: int) -> Model:
     """The page model: trusted records stay positive; the others start as negative, and in each round count as positive by their posterior."""
-    odds, prior = None, 0.0
+    odds, prior, before = None, 0.0, -1.0
     for turn in range(rounds):
         yes, every, positive, sure, n = _page_sums(records, odds, prior)
         if not sure:
             return Model(np.zeros(BUCKETS, dtype=np.float32))
-        if odds is not None and turn + 1 < rounds and positive > DRIFT * sure:  # the class would no longer be what the trusted records state
+        if odds is not None and positive > DRIFT * sure:  # the class would no longer be what the trusted records state
             break
-        margin = MARGIN if turn + 1 < rounds else FINAL_MARGIN
         # Both classes lean on the word frequencies of all records, so a word new to a class counts little.
         no, usual = every - yes, every * (BACKGROUND / max(1.0, every.sum()))
-        odds = np.log((yes + usual + 1e-12) / (yes.sum() + BACKGROUND)) - np.log((no + usual + 1e-12) / (no.sum() + BACKGROUND))
-        odds = np.clip(np.where(usual > 0, odds - margin, 0.0), -6.0, 6.0)
+        plain = np.log((yes + usual + 1e-12) / (yes.sum() + BACKGROUND)) - np.log((no + usual + 1e-12) / (no.sum() + BACKGROUND))
+        odds = np.clip(np.where(usual > 0, plain - MARGIN, 0.0), -6.0, 6.0)
+        final = np.clip(np.where(usual > 0, plain, 0.0), -6.0, 6.0)
         prior = math.log((positive + 1) / (n - positive + 1))
-    return Model(odds.astype(np.float32), prior)
+        if abs(positive - before) < 1e-3 * sure:  # nothing moves any more
+            break
+        before = positive
+    return Model(final.astype(np.float32), prior)
 
 
 def _slot_sums(contexts: DataFrame, wanted: Callable[[str, int, int], bool]) -> dict[str, tuple[float, dict[int, float], dict[int, float]]]:
@@ -306,9 +334,8 @@ def _learn_slots(model: Model, contexts: DataFrame, rounds: int) -> None:
         wanted = lambda v, b, a, held=held: bool(v) and not held.is_slot_at(v, b, a)
 
 
-def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Learn both models by expectation-maximisation from every record of ``df``."""
-    records = _features(df, text)
+def fit(records: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Learn both models by expectation-maximisation from every record of ``records`` (``_features``)."""
     model = _learn_page(records, rounds)
     contexts = records.select(F.explode("ctx").alias("x")).groupBy("x.v", "x.b", "x.a").agg(F.count("*").alias("c"))
     _learn_slots(model, materialise(contexts), rounds)
@@ -316,22 +343,22 @@ def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 
 
 def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """``doc_id`` and ``kind`` ('slot' or 'page') of every record that is template residue or no content.
+    """``doc_id``, ``kind`` ('slot' or 'page') and ``trusted`` of every record that is template residue or no content.
 
-    Null, empty and blank texts are no cases. Repeated rows stay repeated. Texts are read whole. Other
-    columns are never read. An empty table gives an empty result.
+    ``trusted`` tells the records that the learning started from; the others are found by the models, or by the
+    grammar of a slot. Null, empty and blank texts are no cases. Repeated rows stay repeated. Texts are read
+    whole. Other columns are never read. An empty table gives an empty result.
     """
-    held = model if model is not None else fit(df, text)
-    base = df.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null and trim(__t) != ''")
+    records = _features(df, doc_id, text)
+    held = model if model is not None else fit(records)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = []
-            for t in batch.column(1).to_pylist():
-                certain, maybe = slots(t)
-                kinds.append("slot" if certain or any(held.is_slot(*m) for m in maybe) else "page" if held.is_page(t) else None)
-            kind = pa.array(kinds, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), kind], ["__id", "kind"]).filter(kind.is_valid())
-
-    kind = dict(df.dtypes)[doc_id]
-    return spread(base).mapInArrow(judge, f"__id {kind}, kind string").select(F.col("__id").alias(doc_id), "kind")
+            if not batch.num_rows:
+                continue
+            pages = held.are_pages(*_unpacked(batch.column(2)))
+            slot = [any(not x["v"] or held.is_slot_at(x["v"], x["b"], x["a"]) for x in ctx) for ctx in batch.column(3).to_pylist()]
+            kind = pa.array(["slot" if s else "page" if p else None for s, p in zip(slot, pages.tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), kind, batch.column(1)], ["__id", "kind", "trusted"]).filter(kind.is_valid())
+
+    return records.mapInArrow(judge, f"__id {dict(df.dtypes)[doc_id]}, kind string, trusted boolean").select(F.col("__id").alias(doc_id), "kind", "trusted")

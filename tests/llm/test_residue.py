@@ -59,7 +59,7 @@ def corpus(n):
 def learned(spark):
     rows = corpus(2500)
     df = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string").repartition(4)
-    return residue.fit(df)
+    return residue.fit(residue._features(df, "doc_id", "text"))
 
 
 def test_held_out_accuracy(learned):
@@ -78,6 +78,13 @@ def test_table_with_every_odd_row(spark, learned):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_most_records_are_found_by_what_was_learned(spark):
+    rows = corpus(3000) + [(5000 + k, f"Whoops, this {w} was refused again.", True) for k, w in enumerate(["chart", "listing", "event"] * 12)]
+    rows += [(6000 + k, f"Error {500 + k % 4}, whoops, this event was refused", True) for k in range(30)]
+    found = residue.find_residue(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in found if not r.trusted and r.kind == "page"} >= set(range(5000, 5036))
+
+
 def test_slots_are_told_from_look_alikes():
     for slot in SLOTS:
         assert residue.slots(f"before {slot} after")[0], slot
@@ -92,7 +99,8 @@ def test_every_record_takes_part_in_learning(spark):
     rows = [(k, f"venue {word(k)} settles {word(k)}") for k in range(24_000)] + [(k, "502 Bad Gateway") for k in range(24_000, 24_050)]
     # A hot text and a notice whose wording stands in a few records only.
     rows += [(k, "The contract closes early.") for k in range(25_000, 37_000)] + [(37_000 + k, "502 Bad Gateway\nquorvex ziltane") for k in range(5)]
-    model = residue.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
-    assert all(model.page[residue._bucket(word(k))] < 0 for k in range(24_000))
+    model = residue.fit(residue._features(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "doc_id", "text"))
+    # A few of the words share a bucket with one of the notice.
+    assert sum(model.page[residue._bucket(word(k))] < 0 for k in range(24_000)) >= 23_990
     assert model.page[residue._bucket("quorvex")] > 0 and model.page[residue._bucket("ziltane")] > 0
     assert model.page[residue._bucket("contract")] < 0
