@@ -54,6 +54,17 @@ def test_missing_units_are_predicted_or_reviewed(spark):
     assert got[9999].unit_from == "review" and got[9999].common_low is None
 
 
+def test_other_spellings_metrics_and_doubtful_units(spark):
+    rng = random.Random(5)
+    rows = [(k, "no unit", rng.choice("lr"), "payload_mass", round(rng.uniform(200, 900), 3), None, "kg") for k in range(1500)]
+    rows += [(k, "no unit", "l", "payload_mass", round(rng.uniform(0.2, 0.9), 6), None, "t") for k in range(1500, 3000)]
+    rows += [(8000, "over 5 kg", "l", "payload_mass", 5.0, None, "kgz"), (8001, "x", "l", "brightness", 5.0, None, "lumen"), (8002, "x", "l", "payload_mass", 500.0, None, "t"), (8003, "x", "l", "payload_mass", 450.0, None, "kg")]
+    got = rows_of(spark, rows, check=True)
+    assert (got[8000].unit_from, got[8000].common_low) == ("title", 5.0)
+    assert (got[8001].unit_from, got[8001].common_low) == ("review", None)
+    assert got[8002].doubtful and got[8002].common_low == 500_000 and got[8003].doubtful is False
+
+
 def test_empty_table(spark):
     assert units.common_units(spark.createDataFrame([], SCHEMA), "sig_id", "title").count() == 0
 
