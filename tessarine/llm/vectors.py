@@ -2,8 +2,9 @@
 
 A hierarchical k-means tree is fitted on a bounded sample, and every vector is filed under its leaf. A
 query walks the tree with a priority queue, nearest centroid first, and visits a number of leaves that
-is widened, against exact neighbours of a sample of queries, until the wanted recall is reached. Visits
-meet the vectors of their leaf in blocks of bounded size, so a crowded leaf is spread over many tasks;
+is widened, against exact neighbours of a sample of queries, until the wanted recall is reached. Neighbouring
+leaves form groups; a query is sent once to each group that holds leaves it visits, and meets the vectors of
+these leaves there. Crowded groups are cut into blocks of bounded size, so they are spread over many tasks;
 exact copies are searched once and put back afterwards. Similarities are exact cosines.
 """
 
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarine.session import materialise, spread
+from tessarine.session import materialise, slots, spread
 
 #: Vectors that a leaf should hold; vectors of the sample for each leaf; vectors of the sample at most.
 LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_ROWS = 400, 24, 400_000
+#: Bytes of the sample at most, in double precision.
+SAMPLE_BYTES = 256_000_000
 #: Children of a node, rounds of k-means, queries of the calibration, and the recall it must reach.
 BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 1_000, 0.9995
-#: Vectors and queries that meet in one block; parts that a join against copies is salted into.
-BLOCK_ROWS, SALTS = 2_048, 16
+#: Vectors and queries that are compared at once, and that meet in one task; least copies of a vector to a part of a salted join.
+BLOCK_ROWS, GROUP_ROWS, SALT_ROWS = 2_048, 65_536, 100_000
 #: Decimals to which cosines count as equal.
 DECIMALS = 9
 
@@ -120,6 +123,17 @@ def fit_tree(sample: np.ndarray, leaf_sample: int, seed: int = 5) -> Tree:
     return Tree(np.array(centroids), children, np.array(leaf))
 
 
+def first_k(qid: np.ndarray, ids: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query: by value, then by smaller id."""
+    order = np.lexsort((ids, -value, qid))
+    qid, ids, value = qid[order], ids[order], value[order]
+    first = np.ones(len(qid), dtype=bool)
+    first[1:] = qid[1:] != qid[:-1]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(qid)), 0)) if len(qid) else np.zeros(0, dtype=np.int64)
+    keep = np.arange(len(qid)) - start < k
+    return qid[keep], ids[keep], value[keep]
+
+
 def block_neighbours(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, neighbour, cosine): for each query its ``k`` best of the block with a cosine of ``least`` or more."""
     cos = np.round(np.clip(q @ m.T, -1.0, 1.0), DECIMALS)
@@ -129,14 +143,24 @@ def block_neighbours(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndar
     else:
         floor = np.full(len(q), least)
     rows, cols = np.nonzero((cos >= floor[:, None]) & (cos > -2.0))
-    value, ids = cos[rows, cols], mid[cols]
-    order = np.lexsort((ids, -value, rows))
-    rows, value, ids = rows[order], value[order], ids[order]
-    first = np.ones(len(rows), dtype=bool)
-    first[1:] = rows[1:] != rows[:-1]
-    start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, dtype=np.int64)
-    keep = np.arange(len(rows)) - start < k
-    return qid[rows[keep]], ids[keep], value[keep]
+    return first_k(qid[rows], mid[cols], cos[rows, cols], k)
+
+
+def group_neighbours(qid: np.ndarray, q: np.ndarray, leaves: list[list[int]], mid: np.ndarray, m: np.ndarray, leaf: np.ndarray, k: int, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``block_neighbours`` of every query and each of the leaves that it visits."""
+    row = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+    to = np.array([x for own in leaves for x in own])
+    order, inside = np.argsort(to, kind="stable"), np.argsort(leaf, kind="stable")
+    row, to, leaf = row[order], to[order], leaf[inside]
+    out = []
+    for one in np.unique(leaf):
+        asks = row[slice(*np.searchsorted(to, (one, one + 1)))]
+        has = inside[slice(*np.searchsorted(leaf, (one, one + 1)))]
+        for a in range(0, len(asks), BLOCK_ROWS):
+            for b in range(0, len(has), BLOCK_ROWS):
+                i, j = asks[a : a + BLOCK_ROWS], has[b : b + BLOCK_ROWS]
+                out.append(block_neighbours(qid[i], q[i], mid[j], m[j], k, least))
+    return out
 
 
 def _best(df: DataFrame, k: int) -> DataFrame:
@@ -177,8 +201,8 @@ def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n:
     truth = _best(filed.mapInArrow(exact, "q bigint, n bigint, cos double, leaf int"), k).select("q", "leaf").collect()
     orders = {int(i): {leaf: r for r, leaf in enumerate(tree.visit(v, tree.leaves), 1)} for i, v in zip(qid, q)}
     ranks = sorted(orders[r.q][r.leaf] for r in truth)
-    if not ranks:
-        return min(tree.leaves, 4)
+    if not ranks:  # no sampled query has a neighbour that near; what finds the nearest ones finds those as well
+        return calibrate(filed, tree, k, -1.0, rows, n, recall) if least > -1.0 else 1
     # One visit more than the sample asks for, as the sample does not know its own error.
     return min(tree.leaves, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1)
 
@@ -204,6 +228,7 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
         return nothing
     dim = dims[0].d
     base = base.where(F.size("e") == dim)
+    sample_rows = min(sample_rows, max(LEAF_ROWS, SAMPLE_BYTES // (8 * dim)))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,41 +247,53 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
     filed = materialise(_filed(spread(reps), tree))
     visits = calibrate(filed, tree, k, least, CALIBRATION_ROWS, n, recall)
 
+    # Leaves are numbered from the root down, so those of a group are near each other.
+    groups = max(1, min(tree.leaves, max(2 * slots(spark), math.ceil(n / GROUP_ROWS))))
+    of_group = lambda leaf: leaf * groups // tree.leaves
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                found = [tree.visit(q, visits) for q in unit_rows(b.column(1).to_pylist(), dim)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "leaves"])
+            rows, where, found = [], [], []
+            for k_row, q in enumerate(unit_rows(b.column(1).to_pylist(), dim) if b.num_rows else ()):
+                own: dict[int, list[int]] = {}
+                for leaf in tree.visit(q, visits):
+                    own.setdefault(of_group(leaf), []).append(leaf)
+                rows += [k_row] * len(own)
+                where += own
+                found += own.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(where, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "g", "leaves"])
 
     # Only those who ask: classes of copies that hold an asking vector.
     asking = every if queries is None else every.withColumnRenamed("id", vec_id).where(queries).withColumnRenamed(vec_id, "id")
     askers = reps if queries is None else reps.join(asking.select("v").distinct(), "v", "left_semi")
-    walks = materialise(spread(askers.select("id", "v")).mapInArrow(walk, "id bigint, v binary, leaves array<int>"))
-    # Two counts a leaf decide into how many blocks its vectors and its visits are cut. Leaves are bounded.
-    held = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}
-    asked = {r.leaf: r["count"] for r in walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    plan = spark.createDataFrame([(leaf, math.ceil(c / BLOCK_ROWS), math.ceil(asked.get(leaf, 0) / BLOCK_ROWS)) for leaf, c in held.items()], "leaf int, ms int, qs int").where("qs > 0")
+    walks = materialise(spread(askers.select("id", "v")).mapInArrow(walk, "id bigint, v binary, g int, leaves array<int>"))
+    filed = filed.withColumn("g", F.floor(F.col("leaf") * groups / tree.leaves).cast("int"))
+    # Two counts a group decide into how many blocks its vectors and its visits are cut. The number of groups is bounded.
+    held = {r.g: r["count"] for r in filed.groupBy("g").count().collect()}
+    asked = {r.g: r["count"] for r in walks.groupBy("g").count().collect()}
+    plan = spark.createDataFrame([(g, math.ceil(c / GROUP_ROWS), math.ceil(asked.get(g, 0) / GROUP_ROWS)) for g, c in held.items()], "g int, ms int, qs int").where("qs > 0")
     plan = F.broadcast(plan)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    answers = filed.join(plan, "leaf").select("leaf", part("id", "ms").alias("m"), upto("qs").alias("b"), "id", "v")
-    asks = walks.select("id", "v", F.explode("leaves").alias("leaf")).join(plan, "leaf").select("leaf", upto("ms").alias("m"), part("id", "qs").alias("b"), "id", "v")
+    answers = filed.join(plan, "g").select("g", part("id", "ms").alias("m"), upto("qs").alias("b"), "id", "v", "leaf")
+    asks = walks.join(plan, "g").select("g", upto("ms").alias("m"), part("id", "qs").alias("b"), "id", "v", "leaves")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            a = c = np.zeros(0, dtype=np.int64)
-            s = np.zeros(0)
-        else:
-            a, c, s = block_neighbours(left["id"].to_numpy(), unit_rows(left["v"].to_pylist(), dim), right["id"].to_numpy(), unit_rows(right["v"].to_pylist(), dim), k, least)
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            found += group_neighbours(left["id"].to_numpy(), unit_rows(left["v"].to_pylist(), dim), left["leaves"].to_pylist(), right["id"].to_numpy(), unit_rows(right["v"].to_pylist(), dim), right["leaf"].to_numpy(), k, least)
+        a, c, s = first_k(*(np.concatenate(x) for x in zip(*found)), k)
         return pa.table({"q": pa.array(a, pa.int64()), "n": pa.array(c, pa.int64()), "cos": pa.array(s, pa.float64())})
 
-    key = ["leaf", "m", "b"]
+    key = ["g", "m", "b"]
     near = asks.groupBy(*key).cogroup(answers.groupBy(*key)).applyInArrow(meet, "q bigint, n bigint, cos double")
     near = _best(near, k)
 
-    # Copies: the first k + 1 ids of every class stand for it.
-    twins = reps.where("copies > 1").select("v", F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(twins, ["v", "salt"]).select("rep", "id")
+    # Copies: the first k + 1 ids of every class stand for it. The largest class decides into how many parts classes are salted.
+    salts = max(2, math.ceil((reps.agg(F.max("copies")).first()[0] or 0) / SALT_ROWS))
+    twins = reps.where("copies > 1").select("v", F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    members = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(twins, ["v", "salt"]).select("rep", "id")
     order = Window.partitionBy("rep").orderBy("id")
     firsts = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("rep", "id")
     single = reps.where("copies = 1").select(F.col("id").alias("rep"), "id")
@@ -264,12 +301,12 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
     lists = near.join(shown.withColumnRenamed("rep", "n"), "n").select("q", F.col("id").alias("n"), "cos")
     lists = lists.unionByName(firsts.select(F.col("rep").alias("q"), F.col("id").alias("n"), F.lit(1.0).alias("cos")))
     lists = _best(lists, k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("c"), "n"))).alias("l"))
-    everyone = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).unionByName(single.withColumn("salt", F.lit(0)))
+    everyone = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).unionByName(single.withColumn("salt", F.lit(0)))
     if queries is not None:
         everyone = everyone.join(asking.select("id"), "id", "left_semi")
     # A class of copies may hold a third of all rows: its list is salted, so that no task gets all of them.
     copied = lists.join(reps.where("copies > 1").select(F.col("id").alias("q")), "q", "left_semi")
-    salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1)))).unionByName(lists.withColumn("salt", F.lit(0)))
+    salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(salts - 1)))).unionByName(lists.withColumn("salt", F.lit(0)))
     own = everyone.join(salted.withColumnRenamed("q", "rep"), ["rep", "salt"]).select("id", F.expr(f"slice(filter(l, x -> x.n != id), 1, {k})").alias("l"))
     return own.select("id", F.explode("l").alias("x")).select(F.col("id").cast(kind).alias(vec_id), F.col("x.n").cast(kind).alias("neighbour_id"), (-F.col("x.c")).alias("cosine"))
 
