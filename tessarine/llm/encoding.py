@@ -14,6 +14,7 @@ import base64
 import bisect
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -69,10 +70,25 @@ def decode(ids: Sequence[int], path: str = TOKENIZER) -> str:
     return tokenizer(path).decode_bytes(list(ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=PIECES)
-def _remembered(path: str, piece: str) -> list[int]:
-    """Ids of a short piece; words come again and again."""
-    return tokenizer(path).encode_ordinary(piece)
+class _Known(dict):
+    """Ids of short pieces, as words come again and again. Forgets all when full."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = tokenizer(path).encode_ordinary
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece)
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=4)
+def _known(path: str) -> _Known:
+    return _Known(path)
 
 
 def boundaries(text: str) -> list[int]:
@@ -90,15 +106,11 @@ def pieces(text: str, last: bool, path: str) -> tuple[list[int], list[int], list
 
     The final pre-token of a chunk that is not the last may go on in the next one, so it is left out.
     """
-    cuts = boundaries(text)
+    parts, known = _splitter().findall(text), _known(path)
     if not last:
-        cuts = cuts[:-1]
-    ids, counts = [], []
-    for a, b in zip(cuts, cuts[1:]):
-        own = _remembered(path, text[a:b]) if b - a <= PIECE_CHARS else tokenizer(path).encode_ordinary(text[a:b])
-        ids += own
-        counts.append(len(own))
-    return cuts, counts, ids
+        parts = parts[:-1]
+    own = [known[p] for p in parts]
+    return [0, *itertools.accumulate(map(len, parts))], [len(o) for o in own], list(itertools.chain.from_iterable(own))
 
 
 def stitch(parts: list[dict], path: str = TOKENIZER) -> list[int]:
@@ -182,8 +194,8 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [pieces(r["__part"], r["__k"] + 1 == r["__n"], path) for r in rows]
+            k, n, text = (batch.column(i).to_pylist() for i in (2, 3, 5))
+            made = [pieces(t, i + 1 == of, path) for i, of, t in zip(k, n, text)]
             fields = [batch.column(i) for i in range(6)] + [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in range(3)]
             yield pa.RecordBatch.from_arrays(fields, [*batch.schema.names, "__cuts", "__counts", "__ids"])
 
