@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ TRUSTED = [
 
 _SLOT = {k: re.compile("|".join(f"(?:{s})" for s in every)) for k, every in SLOTS.items()}
 _ANGLE, _EMPTY = re.compile(ANGLE), re.compile(EMPTY_VALUES)
+_EMPTY_WORDS = EMPTY_VALUES[EMPTY_VALUES.index("(null") + 1 : EMPTY_VALUES.index(")(?!")].split("|")
 _TRUST = re.compile("|".join(f"(?:{t})" for t in TRUSTED), re.I)
 #: The end of a passage (a line, a sentence, a wide gap or a menu bar), a number, a word, or a run of one sign.
 _TOKEN = re.compile(
@@ -166,7 +168,7 @@ def slots(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]
     certain = [_context(text, *m.span()) for key, grammar in _SLOT.items() if key in text for m in grammar.finditer(text)]
     if "<" in text:
         certain += [_context(text, *m.span()) for m in _ANGLE.finditer(text) if m.group(1).lower() not in MARKUP]
-    maybe = [(m.group(1).lower(), *_context(text, *m.span())) for m in _EMPTY.finditer(text)]
+    maybe = [(m.group(1).lower(), *_context(text, *m.span())) for m in _EMPTY.finditer(text)] if any(w in text for w in _EMPTY_WORDS) else []
     return certain, maybe
 
 
@@ -218,11 +220,22 @@ class Model:
         return bool(certain) or any(self.is_slot(*m) for m in maybe) or bool(self.are_pages(*features([text]))[0])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose ``column`` holds at most ``most`` bytes (or a single record)."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _features(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """id, whether a record is trusted, its features, and the contexts of its slots."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1, 2_000_000):
             texts = batch.column(1).to_pylist()
             code, sizes = features(texts)
             raw, ends = code.tobytes(), np.cumsum(sizes) * 4
@@ -253,9 +266,7 @@ def _page_sums(records: DataFrame, odds: np.ndarray | None, prior: float) -> tup
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yes, every = np.zeros(BUCKETS + 3), np.zeros(BUCKETS + 3)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, 1):
             code, sizes = _unpacked(batch.column(1))
             told = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             early = (code & EARLY) > 0
@@ -353,9 +364,7 @@ def find_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mode
     held = model if model is not None else fit(records)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, 2):
             pages = held.are_pages(*_unpacked(batch.column(2)))
             slot = [any(not x["v"] or held.is_slot_at(x["v"], x["b"], x["a"]) for x in ctx) for ctx in batch.column(3).to_pylist()]
             kind = pa.array(["slot" if s else "page" if p else None for s, p in zip(slot, pages.tolist())], pa.string())
