@@ -15,12 +15,32 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def ascii_form(text: Column) -> Column:
+    """Compatibility decomposition without marks and without whatever is not ASCII then."""
+
+    @F.pandas_udf(T.StringType())
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    return fold(text)
+
+
 def plain_words(text: Column) -> Column:
-    """Lower case, '&' as 'and', quotes dropped, everything else but letters and digits as blanks."""
-    low = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "['\"]", "")
+    """ASCII form in lower case, '&' as 'and', quotes dropped, everything else but letters and digits as blanks; '' for null."""
+    low = F.regexp_replace(F.replace(F.lower(ascii_form(F.coalesce(text, F.lit("")))), F.lit("&"), F.lit(" and ")), "['\"`]", "")
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
+def folded_words(text: Column) -> Column:
+    """ASCII form in lower case, everything but letters and digits (quotes, too) as blanks; '' for null."""
+    return spaced_words(ascii_form(F.coalesce(text, F.lit(""))))
+
+
+def legacy_words(text: Column) -> Column:
+    """Lower case with only letters, digits, ``. - %`` and blanks; '' for null."""
+    return squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.\-%\s]", " "))
+
+
 def spaced_words(text: Column) -> Column:
     """Lower case with every run of other characters than letters and digits as one blank."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -34,10 +54,6 @@ def rule_text(text: Column) -> Column:
 def signature_text(text: Column) -> Column:
     """ASCII form (compatibility decomposition, marks dropped), lower case, only ``[a-z0-9%$.-]`` and blanks."""
 
-    @F.pandas_udf(T.StringType())
-    def ascii_form(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
-
     return squeeze(F.regexp_replace(F.lower(ascii_form(text)), r"[^a-z0-9%$.\-\s]", " "))
 
 
@@ -68,14 +84,17 @@ def number_texts(text: Column) -> Column:
 
 
 def season_key(text: Column) -> Column:
-    """``2026-27`` as ``2026-2027``; a lone year stays; null where there is neither."""
-    both = F.regexp_extract(text, r"\b(20[0-9]{2})[-/]([0-9]{2})\b", 0)
-    year = F.regexp_extract(text, r"\b(20[0-9]{2})\b", 1)
-    return F.when(both != "", F.concat(F.substring(both, 1, 4), F.lit("-20"), F.substring(both, 6, 2))).when(year != "", year)
+    """``2026-27``, ``2026 - 2027`` and the like as ``2026-2027``; a lone year stays; null where there is neither."""
+    t = signature_text(text)
+    both = r"\b(20[0-9]{2})\s*-\s*(20[0-9]{2}|[0-9]{2})\b"
+    first, last = F.regexp_extract(t, both, 1), F.regexp_extract(t, both, 2)
+    year = F.regexp_extract(t, r"\b(20[0-9]{2})\b", 1)
+    full = F.when(F.length(last) == 2, F.concat(F.substring(first, 1, 2), last)).otherwise(last)
+    return F.when(first != "", F.concat(first, F.lit("-"), full)).when(year != "", year)
 
 
 def shorten(text: Column, width: int) -> Column:
-    """At most ``width`` characters, cut at a blank where there is one."""
-    t = squeeze(text)
+    """Without a leading 'will' or 'who will', at most ``width`` characters, cut at a blank where there is one."""
+    t = F.regexp_replace(squeeze(text), "(?i)^(who will|will) ", "")
     cut = F.regexp_extract(F.substring(t, 1, width + 1), r"^(.*)\s", 1)
     return F.when(F.length(t) <= width, t).when(cut != "", cut).otherwise(F.substring(t, 1, width))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -20,18 +21,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def vote_candidates(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, most: int) -> DataFrame:
-    """(lid, rid, votes, weight): pairs that share tokens found in at most ``most`` rows of either side.
+def vote_candidates(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, share: float = 0.08, least: int = 80) -> DataFrame:
+    """(lid, rid, votes, weight): pairs that share words which are not too common to vote.
 
-    Weight sums log(1 + N / df). Tokens in more rows identify nothing and are skipped; that limit is part
-    of the operator, and what it skips is never needed to tell rows apart.
+    A word votes if it stands in at most ``max(least, share * rows)`` rows of either side; the limit grows with
+    the tables. Rows whose words are all commoner vote by their whole set of words: they pair
+    with the rows of the other side that have the same set. The weight of a pair sums log(1 + N / df) over the words that vote,
+    N being the rows of both sides; sets of words that are equal weigh as one word in two rows.
     """
-    l = left.select(F.col(lid), F.explode(F.array_distinct(tokens)).alias("tok"))  # noqa: E741
-    r = right.select(F.col(rid), F.explode(F.array_distinct(tokens)).alias("tok"))
-    counts = l.select("tok", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(r.select("tok", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    df = counts.groupBy("tok").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where((F.col("a") > 0) & (F.col("b") > 0) & (F.col("a") <= most) & (F.col("b") <= most))
-    df = df.select("tok", F.log(1 + F.lit(1000.0) / (F.col("a") + F.col("b"))).alias("w"))
-    return l.join(df, "tok").join(r, "tok").groupBy(lid, rid).agg(F.count("*").alias("votes"), F.sum("w").alias("weight"))
+    sides = [d.select(F.col(i), F.array_sort(F.array_distinct(tokens)).alias("__set")) for d, i in ((left, lid), (right, rid))]
+    n_left, n_right = (d.count() for d in sides)
+    exploded = [d.select(i, F.explode("__set").alias("tok")) for d, i in zip(sides, (lid, rid))]
+    counts = exploded[0].select("tok", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(exploded[1].select("tok", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    df = counts.groupBy("tok").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    df = df.where((F.col("a") <= max(least, share * n_left)) & (F.col("b") <= max(least, share * n_right))).select("tok", F.log(1 + F.lit(float(n_left + n_right)) / (F.col("a") + F.col("b"))).alias("w"))
+    voting = [d.join(df, "tok") for d in exploded]
+    votes = voting[0].join(voting[1].drop("w"), "tok").select(lid, rid, "w")
+    mute = [d.where(F.size("__set") > 0).join(v.select(i).distinct(), i, "left_anti").select(i, F.array_join("__set", " ").alias("__all")) for d, v, i in zip(sides, voting, (lid, rid))]
+    alike = mute[0].join(mute[1], "__all").select(lid, rid, F.lit(math.log(1 + (n_left + n_right) / 2)).alias("w"))
+    return votes.unionByName(alike).groupBy(lid, rid).agg(F.count("*").alias("votes"), F.sum("w").alias("weight"))
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str, width: float) -> DataFrame:
@@ -46,21 +54,22 @@ def range_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: s
     return l.join(r, [key, "__cell"]).where(F.abs(F.col(at) - F.col(other_at)) <= width).drop("__cell")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, payload: str, out: str, tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, payload: str, out: str, tie: str, hot_rows: int | None = None) -> DataFrame:
     """Each left row with ``payload`` of the last right row of its key at or before ``at`` (numeric).
 
-    Union and a running last value in place of a join: no pairs are made. Time is cut into stretches by
-    quantiles, each of which is walked on its own and starts with the last value of those before it, so
-    a busy key is spread over tasks. Among right rows of one instant the largest ``tie`` counts.
+    Union and a running last value in place of a join: no pairs are made. A key with more than ``hot_rows`` rows is cut into
+    stretches of time, each of which is walked on its own and starts with the last value of those before it, so
+    it is spread over tasks. Among right rows of one instant the largest ``tie`` counts.
     """
-    from tessarine.operators.ledger import blocks
+    from tessarine.operators.ledger import HOT_ROWS, stretches
 
     l = left.withColumns({"__p": F.lit(None).cast(dict(right.dtypes)[payload]), "__side": F.lit(1), "__tie": F.lit(None).cast("long")})  # noqa: E741
     r = right.select(key, at, F.col(payload).alias("__p"), F.lit(0).alias("__side"), F.col(tie).cast("long").alias("__tie"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    both = both.withColumn("__b", F.coalesce(blocks(both.select(F.col(at).cast("double")), at), F.lit(-1)))
+    both, split = stretches(l.unionByName(r, allowMissingColumns=True), [key], at, hot_rows=hot_rows or HOT_ROWS)
     order = Window.partitionBy(key, "__b").orderBy(at, "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = both.withColumn("__own", F.last("__p", ignorenulls=True).over(order)).where("__side = 1")
+    if not split:
+        return walked.withColumn(out, F.col("__own")).drop("__p", "__side", "__tie", "__b", "__own")
     last = both.where("__side = 0 and __p is not null").groupBy(key, "__b").agg(F.max_by("__p", F.struct(at, "__tie")).alias("__last"))
     # The last value before each stretch: at most one row a key and stretch meets the running window.
     needed = both.select(key, "__b").distinct()
@@ -79,17 +88,26 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, payload:
     return after.withColumn(out, F.when(closer, F.col("__before.v")).otherwise(F.col("__after.v"))).drop("__before", "__after", "__neg")
 
 
-def domain_top_k(queries: DataFrame, rows: DataFrame, domain: str, vec_id: str, embedding: str, k: int) -> DataFrame:
-    """Exact ``k`` most similar rows of the same domain for each query, by cosine, smaller id first on ties.
+def domain_top_k(queries: DataFrame, rows: DataFrame, domain: str, vec_id: str, embedding: str, k: int, floor: float | None = None, rescue: int = 0, rescue_floor: float = -1.0) -> DataFrame:
+    """Exact ``k`` most similar rows of the same domain for each query, by cosine, smaller id first on ties; and ``rescue`` of all domains.
 
-    The query set is stated and met with all rows of its domain; per task only ``k`` rows a query are kept
-    ahead of the shuffle by the ranking limit.
+    Rows under ``floor`` (or, of the rescue, ``rescue_floor``) are left out. The query set is stated and met with all rows;
+    per task only the best rows of a query are kept ahead of the shuffle by the ranking limit.
     """
     q = queries.select(F.col(vec_id).alias("query_id"), F.col(domain).alias("__d"), F.col(embedding).alias("__q"))
-    pairs = rows.join(q, (F.col(domain) == F.col("__d")) & (F.col(vec_id) != F.col("query_id")))
-    scored = pairs.select("query_id", F.col(vec_id).alias("neighbour_id"), F.round(cosine(F.col("__q"), F.col(embedding)), 6).alias("score")).where("score is not null")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best(on, k: int, floor: float | None) -> DataFrame:
+        pairs = rows.join(q, on & (F.col(vec_id) != F.col("query_id")))
+        scored = pairs.select("query_id", F.col(vec_id).alias("neighbour_id"), F.round(cosine(F.col("__q"), F.col(embedding)), 6).alias("score")).where("score is not null")
+        scored = scored if floor is None else scored.where(F.col("score") >= floor)
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "neighbour_id")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    own = best(F.col(domain) == F.col("__d"), k, floor)
+    if not rescue:
+        return own
+    every = best(F.lit(True), rescue, rescue_floor).join(own.select("query_id", "neighbour_id"), ["query_id", "neighbour_id"], "left_anti")
+    return own.unionByName(every.withColumn("rank", F.lit(None).cast("int")))
 
 
 def merge_candidates(df: DataFrame, keys: Sequence[str], score: str, sources: str) -> DataFrame:

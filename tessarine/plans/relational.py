@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessarine.functions import similarity, text
@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _signals(t: Source, *columns: str) -> DataFrame:
-    return t("signals").dropDuplicates().select(*columns) if columns else t("signals").dropDuplicates()
+    """Each signal once: a second delivery equals the first in every column, so its id tells it."""
+    return t("signals").select("signal_id", *[c for c in columns if c != "signal_id"]).dropDuplicates(["signal_id"])
 
 
 # Sources and sinks: union, deduplication, nested indexes
@@ -45,7 +46,7 @@ def _signals(t: Source, *columns: str) -> DataFrame:
     select ticker, count(*) as n_rules, list_sort(list_distinct(list(poly_id) filter (where poly_id is not null))) as poly_ids
     from once where ticker is not null group by ticker""")
 def a8(t):
-    return t("raw_settlement_rules").dropDuplicates().where("ticker is not null").groupBy("ticker").agg(F.count("*").alias("n_rules"), F.array_sort(F.collect_set("poly_id")).alias("poly_ids"))
+    return t("raw_settlement_rules").select("rule_id", "ticker", "poly_id").dropDuplicates(["rule_id"]).where("ticker is not null").groupBy("ticker").agg(F.count("*").alias("n_rules"), F.array_sort(F.collect_set("poly_id")).alias("poly_ids"))
 
 
 @query("a11_union_first_wins", """
@@ -78,14 +79,15 @@ def a14(t):
 
 
 @query("c3_plain_words", r"""
-    select distinct audit_id, trim(regexp_replace(regexp_replace(replace(lower(kalshi_title), '&', ' and '), '[''"]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) as words from match_audit""")
+    select sig_id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(coalesce(subject, kalshi_title, ''))), '&', ' and '), '[''"`’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) as words from kalshi_signature""")
 def c3(t):
-    return t("match_audit").select("audit_id", text.plain_words(F.col("kalshi_title")).alias("words")).distinct()
+    return t("kalshi_signature").select("sig_id", text.plain_words(F.coalesce("subject", "kalshi_title")).alias("words"))
 
 
-@query("c4_spaced_words", "select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as words from documents")
+@query("c4_spaced_words", r"""
+    select sig_id, trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce(subject, polymarket_question, '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) as words from poly_signature""")
 def c4(t):
-    return t("documents").select("doc_id", text.spaced_words(F.col("text")).alias("words"))
+    return t("poly_signature").select("sig_id", text.folded_words(F.coalesce("subject", "polymarket_question")).alias("words"))
 
 
 @query("c5_rule_text", r"""
@@ -117,10 +119,16 @@ def c8(t):
 
 
 @query("c12_season_key", r"""
-    with k as (select sig_id, regexp_extract(polymarket_question, '\b(20[0-9]{2})[-/]([0-9]{2})\b', 0) as b, regexp_extract(polymarket_question, '\b(20[0-9]{2})\b', 1) as y from poly_signature)
-    select sig_id, case when b <> '' then substr(b, 1, 4) || '-20' || substr(b, 6, 2) when y <> '' then y end as season from k""")
+    with t as (select sig_id, case when sig_id % 3 = 0 then season_year || case when sig_id % 2 = 0 then ' - 20' else '-' end || (right(season_year, 2)::int + 1)::varchar else polymarket_question end as x from poly_signature),
+    n as (select sig_id, regexp_replace(lower(strip_accents(x)), '[^a-z0-9%$.\-\s]', ' ', 'g') as x from t),
+    k as (select sig_id, regexp_extract(x, '\b(20[0-9][0-9])\s*-\s*(20[0-9][0-9]|[0-9][0-9])\b', 1) as a, regexp_extract(x, '\b(20[0-9][0-9])\s*-\s*(20[0-9][0-9]|[0-9][0-9])\b', 2) as b, regexp_extract(x, '\b(20[0-9][0-9])\b', 1) as y from n)
+    select sig_id, case when a <> '' and length(b) = 4 then a || '-' || b when a <> '' then a || '-' || left(a, 2) || b when y <> '' then y end as season from k""")
 def c12(t):
-    return t("poly_signature").select("sig_id", text.season_key(F.col("polymarket_question")).alias("season"))
+    # A third of the rows get a season of two years, written in two ways.
+    y = F.col("season_year")
+    season = F.concat(y, F.when(F.col("sig_id") % 2 == 0, " - 20").otherwise("-"), (F.right(y, F.lit(2)).cast("int") + 1).cast("string"))
+    said = F.when(F.col("sig_id") % 3 == 0, season).otherwise(F.col("polymarket_question"))
+    return t("poly_signature").select("sig_id", text.season_key(said).alias("season"))
 
 
 @query("c16_numbers", r"""
@@ -148,9 +156,11 @@ def c25(t):
     return t("signals").select("signal_id", F.split_part("ticker", F.lit("-"), F.lit(1)).alias("series"), F.coalesce("topic", "ticker", F.lit("unknown")).alias("event_key")).distinct()
 
 
-@query("c31_short_titles")
+@query("c31_short_titles", r"""
+    with s as (select sig_id, regexp_replace(trim(regexp_replace(polymarket_question, '\s+', ' ', 'g')), '^(who will|will) ', '', 'i') as t from poly_signature)
+    select sig_id, case when length(t) <= 34 then t when regexp_extract(left(t, 35), '^(.*)\s', 1) <> '' then regexp_extract(left(t, 35), '^(.*)\s', 1) else left(t, 34) end as short_title from s""")
 def c31(t):
-    return t("kalshi_signature").select("sig_id", text.shorten(F.col("kalshi_title"), 34).alias("short_title"))
+    return t("poly_signature").select("sig_id", text.shorten(F.col("polymarket_question"), 34).alias("short_title"))
 
 
 # Similarity
@@ -186,7 +196,7 @@ def e1(t):
 def e12(t):
     vec = t("semantic_poly").select("vec_id", "embedding").where("embedding is not null")
     a, b = (vec.withColumnsRenamed({"vec_id": k, "embedding": f"{k}_v"}) for k in ("query_vec_id", "poly_idx"))
-    cands = t("hybrid_candidate").dropDuplicates().select("cand_id", "query_vec_id", "poly_idx")
+    cands = t("hybrid_candidate").select("cand_id", "query_vec_id", "poly_idx").dropDuplicates(["cand_id"])
     score = similarity.cosine(F.col("query_vec_id_v"), F.col("poly_idx_v"))
     return cands.join(a, "query_vec_id").join(b, "poly_idx").select("cand_id", F.round(score, 5).alias("score_now")).where("score_now is not null")
 
@@ -212,14 +222,19 @@ _WORDS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({
 @query("g3_weighted_votes", f"""
     with l as (select sig_id as left_id, unnest({_WORDS_SQL.format("kalshi_title")}) as tok from kalshi_signature),
     r as (select sig_id as right_id, unnest({_WORDS_SQL.format("polymarket_question")}) as tok from poly_signature),
-    ca as (select tok, count(*) as a from l group by tok), cb as (select tok, count(*) as b from r group by tok),
-    df as (select tok, ln(1 + 1000.0 / (a + b)) as w from ca join cb using (tok) where a <= 20 and b <= 20)
-    select left_id, right_id, count(*) as votes, round(sum(w), 4) as weight from l join df using (tok) join r using (tok) group by left_id, right_id""")
+    n as (select (select count(*) from kalshi_signature) as nl, (select count(*) from poly_signature) as nr),
+    c as (select tok, sum(a) as a, sum(b) as b from (select tok, 1 as a, 0 as b from l union all select tok, 0, 1 from r) group by tok),
+    df as (select tok, ln(1 + (nl + nr)::double / (a + b)) as w from c, n where a <= greatest(20, 0.03 * nl) and b <= greatest(20, 0.03 * nr)),
+    v as (select left_id, right_id, w from l join df using (tok) join r using (tok)),
+    ml as (select left_id, string_agg(tok, ' ' order by tok) as everything from l where left_id not in (select left_id from l join df using (tok)) group by left_id),
+    mr as (select right_id, string_agg(tok, ' ' order by tok) as everything from r where right_id not in (select right_id from r join df using (tok)) group by right_id),
+    x as (select * from v union all select left_id, right_id, ln(1 + (nl + nr) / 2.0) from ml join mr using (everything), n)
+    select left_id, right_id, count(*) as votes, round(sum(w), 4) as weight from x group by left_id, right_id""")
 def g3(t):
     words = lambda c: F.filter(F.split(text.spaced_words(F.col(c)), " "), lambda w: F.length(w) >= 3)
     left = t("kalshi_signature").select(F.col("sig_id").alias("left_id"), words("kalshi_title").alias("toks"))
     right = t("poly_signature").select(F.col("sig_id").alias("right_id"), words("polymarket_question").alias("toks"))
-    return linkage.vote_candidates(left, right, "left_id", "right_id", "toks", 20).withColumn("weight", F.round("weight", 4))
+    return linkage.vote_candidates(left, right, "left_id", "right_id", "toks", 0.03, 20).withColumn("weight", F.round("weight", 4))
 
 
 @query("g8_domain_top_k", """
@@ -237,7 +252,7 @@ def g8(t):
     with c as (select distinct * from hybrid_candidate), x as (select query_vec_id, poly_idx, embedding_score, unnest(retrieval_sources) as s from c)
     select query_vec_id, poly_idx, round(max(embedding_score), 6) as embedding_score, list_sort(list(distinct s)) as retrieval_sources from x group by 1, 2""")
 def g9(t):
-    rows = t("hybrid_candidate").dropDuplicates().where("size(retrieval_sources) > 0")
+    rows = t("hybrid_candidate").select("cand_id", "query_vec_id", "poly_idx", "embedding_score", "retrieval_sources").dropDuplicates(["cand_id"]).where("size(retrieval_sources) > 0")
     return linkage.merge_candidates(rows, ["query_vec_id", "poly_idx"], "embedding_score", "retrieval_sources").withColumn("embedding_score", F.round("embedding_score", 6))
 
 
@@ -268,10 +283,14 @@ def g11(t):
     return linkage.range_join(left, right, "user_id", "sec", "other_sec", 3600.0).select("first_id", "second_id")
 
 
-@query("g12_semi_join", "select distinct rule_id from raw_settlement_rules r where exists (select 1 from match_audit m where m.kalshi_ticker = r.ticker) and polymarket_resolution_source is null")
+@query("g12_semi_join", """
+    select sig_id from kalshi_signature k where not structured_complete and subject is not null
+        and exists (select 1 from poly_signature p where lower(p.subject) = lower(k.subject) and p.season_year is not distinct from k.season_year)""")
 def g12(t):
-    incomplete = t("raw_settlement_rules").where("polymarket_resolution_source is null").select("rule_id", "ticker")
-    return incomplete.join(t("match_audit").select(F.col("kalshi_ticker").alias("ticker")), "ticker", "left_semi").select("rule_id").distinct()
+    key = lambda d: d.where("subject is not null").withColumn("who", F.lower("subject"))
+    left = key(t("kalshi_signature").select("sig_id", "subject", "season_year", "structured_complete")).where("not structured_complete")
+    right = key(t("poly_signature").select("subject", F.col("season_year").alias("year")))
+    return left.join(right, (left["who"] == right["who"]) & left["season_year"].eqNullSafe(right["year"]), "left_semi").select("sig_id")
 
 
 @query("g13_exhaustive_groups", """
@@ -280,9 +299,10 @@ def g12(t):
     select c, len(seen.s) as members from seen, d where seen.s = d.s and len(seen.s) >= 3""")
 def g13(t):
     orders = t("orders").select(F.col("o_custkey").alias("c"), "o_orderpriority")
-    # The declared members are one row of the distinct values of a small closed vocabulary.
-    declared = orders.select("c").distinct().join(F.broadcast(orders.agg(F.collect_set("o_orderpriority").alias("every"))))
-    return linkage.exhaustive_groups(orders, "c", "o_orderpriority", declared, "every", 3).select("c", F.size("every").alias("members"))
+    # The declared members are one row of a closed vocabulary: a scalar subquery of the plan, joined by a constant.
+    declared = orders.select("o_orderpriority").distinct().agg(F.array_sort(F.collect_list("o_orderpriority")).alias("every")).withColumn("one", F.lit(1))
+    customers = orders.select("c").distinct().withColumn("one", F.lit(1)).join(declared, "one").drop("one")
+    return linkage.exhaustive_groups(orders, "c", "o_orderpriority", customers, "every", 3).select("c", F.size("every").alias("members"))
 
 
 @query("g15_validated_merge", "select o_orderkey, c_mktsegment from orders left join customer on o_custkey = c_custkey")
@@ -302,9 +322,9 @@ def g16(t):
     return near.select("event_id", F.abs(F.col("nearest") - F.col("sec")).alias("distance"))
 
 
-@query("g17_anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("g17_anti_join", "select vec_id from semantic_poly s where not exists (select 1 from hybrid_candidate h where h.query_vec_id = s.vec_id)")
 def g17(t):
-    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t("semantic_poly").select("vec_id").join(t("hybrid_candidate").select(F.col("query_vec_id").alias("vec_id")), "vec_id", "left_anti")
 
 
 @query("h1_first_reason", """
@@ -366,7 +386,8 @@ def m7(t):
     with l as (select event_id, value, lag(value) over (partition by user_id, event_type order by ts, event_id) as previous from events)
     select event_id, round(previous, 4) as previous from l where value - previous >= greatest(5, previous * 0.5)""")
 def m8(t):
-    rows = ledger.replenished(t("events").select("event_id", "user_id", "event_type", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"], "value", 0.5, 5.0)
+    events = t("events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "value")
+    rows = ledger.replenished(events, ["user_id", "event_type"], ["micros", "event_id"], "micros", "value", 0.5, 5.0)
     return rows.select("event_id", F.round("previous", 4).alias("previous"))
 
 
@@ -404,25 +425,25 @@ _FINITE = "capital is not null and not isnan(capital) and {0} is not null and no
 @query("n4_weighted_means", _ONCE + f"""
     select strategy, round(sum(settlement_days * capital) / nullif(sum(capital), 0), 4) as days, count(*) as n from s where {_FINITE.format("settlement_days")} group by strategy""")
 def n4(t):
-    rows = _signals(t).where(_FINITE.format("settlement_days"))
+    rows = _signals(t, "strategy", "settlement_days", "capital").where(_FINITE.format("settlement_days"))
     return rows.groupBy("strategy").agg(F.round(analytics.weighted_mean("settlement_days", "capital"), 4).alias("days"), F.count("*").alias("n"))
 
 
 @query("n5_sum_by_topic", _ONCE + "select topic, round(sum(net_profit), 3) + 0.0 as total, count(*) as n from s where net_profit is not null and not isnan(net_profit) group by topic")
 def n5(t):
-    rows = _signals(t).where("net_profit is not null and not isnan(net_profit)")
+    rows = _signals(t, "topic", "net_profit").where("net_profit is not null and not isnan(net_profit)")
     return rows.groupBy("topic").agg(F.round(F.sum("net_profit"), 3).alias("total"), F.count("*").alias("n"))
 
 
 @query("n7_value_counts", _ONCE + "select reason, count(*) as n from s group by reason order by n desc, reason limit 12")
 def n7(t):
-    return _signals(t).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("reason").asc_nulls_last()).limit(12)
+    return _signals(t, "reason").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("reason").asc_nulls_last()).limit(12)
 
 
 @query("n8_share_positive", _ONCE + """
     select strategy, round(avg(net_profit), 6) + 0.0 as mean_net, round(avg((net_profit > 0)::int), 6) as share_positive from s where net_profit is not null and not isnan(net_profit) group by strategy""")
 def n8(t):
-    rows = _signals(t).where("net_profit is not null and not isnan(net_profit)")
+    rows = _signals(t, "strategy", "net_profit").where("net_profit is not null and not isnan(net_profit)")
     return rows.groupBy("strategy").agg(F.round(F.avg("net_profit"), 6).alias("mean_net"), F.round(analytics.share_positive("net_profit"), 6).alias("share_positive"))
 
 
@@ -451,7 +472,7 @@ def n13(t):
 
 @query("n14_distinct_counts", _ONCE + "select run_id, count(distinct ticker) as tickers, count(distinct topic) as topics, count(*) as n from s group by run_id")
 def n14(t):
-    return _signals(t).groupBy("run_id").agg(F.countDistinct("ticker").alias("tickers"), F.countDistinct("topic").alias("topics"), F.count("*").alias("n"))
+    return _signals(t, "run_id", "ticker", "topic").groupBy("run_id").agg(F.countDistinct("ticker").alias("tickers"), F.countDistinct("topic").alias("topics"), F.count("*").alias("n"))
 
 
 @query("n16_coverage", """
@@ -460,7 +481,8 @@ def n14(t):
         count(*) filter (where length(kalshi_rules_primary) > 10) as with_rules, count(*) filter (where regexp_matches(lower(polymarket_rules), 'overtime|extra time')) as overtime from r group by 1""")
 def n16(t):
     stages = {"n": F.lit(True), "left_ok": F.col("kalshi_fetch_ok"), "right_ok": F.col("polymarket_fetch_ok"), "with_rules": F.length("kalshi_rules_primary") > 10, "overtime": F.lower("polymarket_rules").rlike("overtime|extra time")}
-    rows = t("raw_settlement_rules").dropDuplicates().withColumnRenamed("polymarket_resolution_source", "src")
+    columns = ["rule_id", "kalshi_fetch_ok", "polymarket_fetch_ok", "kalshi_rules_primary", "polymarket_rules", F.col("polymarket_resolution_source").alias("src")]
+    rows = t("raw_settlement_rules").select(*columns).dropDuplicates(["rule_id"])
     return analytics.funnel(rows, ["src"], stages)
 
 
@@ -489,5 +511,5 @@ def revenue(t):
 @query("m8_last_before", """
     select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous_order from orders""")
 def last_before(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t("orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("previous_order"))
+    orders = t("orders").select("o_orderkey", "o_custkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    return ledger.previous(orders, ["o_custkey"], ["day", "o_orderkey"], "day", "o_orderkey", "previous_order").select("o_orderkey", "previous_order")

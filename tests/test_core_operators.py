@@ -14,9 +14,9 @@ def test_text_forms(spark):
         text.plain_words(F.col("a")).alias("p"), text.spaced_words(F.col("a")).alias("s"), text.signature_text(F.col("a")).alias("g"), text.season_key(F.col("a")).alias("k"),
         text.number_texts(F.col("a")).alias("n"), text.first_filled(F.col("a"), F.col("b")).alias("f"), text.shorten(F.col("a"), 12).alias("t"),
     ).collect()
-    assert got[0].p == "womens a and b caf 2026 27 at 1 250 5" and got[0].s == "women s a b caf 2026 27 at 1 250 5"
+    assert got[0].p == "womens a and bcafe 2026 27 at 1 250 5" and got[0].s == "women s a b caf 2026 27 at 1 250 5"
     assert got[0].g == "women s a bcafe 2026-27 at 1 250.5" and got[0].k == "2026-2027" and got[0].n == ["2026", "27", "1250.5"]
-    assert got[0].t == "Women's A &" and (got[1].f, got[2].f) == ("x", None) and got[1].p is None and got[2].k is None
+    assert got[0].t == "Women's A &" and (got[1].f, got[2].f) == ("x", None) and got[1].p == "" and got[2].k is None
 
 
 def test_similarity_of_empty_and_null(spark):
@@ -71,7 +71,7 @@ def test_ledger(spark):
     got = [(r.k, r.n, r.balance, r.peak, r.drawdown) for r in ledger.running_balance(df, "k", ["n"], "n", "v").orderBy("k", "n").collect()]
     assert got == [("a", 1, 5.0, 5.0, 0.0), ("a", 2, 2.0, 5.0, 3.0), ("a", 3, 11.0, 11.0, 0.0), ("b", 1, None, None, None)]
     assert {(r.k, r.crossed_at) for r in ledger.first_crossing(df, "k", ["n"], "v", "n", 10.0).collect()} == {("a", 3), ("b", None)}
-    assert [(r.k, r.n) for r in ledger.replenished(df, ["k"], ["n"], "v", 0.5, 5.0).collect()] == [("a", 3)]
+    assert [(r.k, r.n) for r in ledger.replenished(df, ["k"], ["n"], "n", "v", 0.5, 5.0).collect()] == [("a", 3)]
     assert [r.session_no for r in ledger.sessions(df, "k", "n", "v", 1.0).where("k = 'a'").orderBy("n").collect()] == [1, 1, 1]
 
 
@@ -88,8 +88,9 @@ def test_running_sums_of_a_hot_key_are_cut(spark):
                 peak = total if peak is None else max(peak, total)
             want[i] = (total, peak)
     for parts in (1, 2, 9):
-        got = {r.i: (r.s, r.m) for r in ledger.running(df, ["k"], ["n", "i"], "n", "v", "s", "m", parts).collect()}
-        assert got == want
+        for hot_rows in (50, 1_000):
+            got = {r.i: (r.s, r.m) for r in ledger.running(df, ["k"], ["n", "i"], "n", "v", "s", "m", parts, hot_rows).collect()}
+            assert got == want
     assert ledger.running(df.limit(0), ["k"], ["n", "i"], "n", "v", "s").count() == 0
 
 
@@ -98,10 +99,40 @@ def test_asof_of_a_hot_key_is_cut(spark):
     left = [(k, rng.choice(["hot", "hot", "a", None]), float(rng.randint(0, 300))) for k in range(300)]
     right = [(k, rng.choice(["hot", "hot", "a", None]), float(rng.randint(20, 300))) for k in range(200)]
     l, r = spark.createDataFrame(left, "lid int, k string, at double"), spark.createDataFrame(right, "v int, k string, at double").withColumn("tie", F.col("v"))  # noqa: E741
-    got = {x.lid: x.out for x in linkage.asof_join(l, r, "k", "at", "v", "out", "tie").collect()}
+    got = {x.lid: x.out for x in linkage.asof_join(l, r, "k", "at", "v", "out", "tie", hot_rows=60).collect()}
     assert got == {i: max(((t, v) for v, q, t in right if q == k and t <= at), default=(0, None))[1] for i, k, at in left}
 
 
+def test_rows_before_and_sessions_of_a_hot_key_are_cut(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["hot", "hot", "a", None]), rng.randint(0, 400)) for k in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, at int").repartition(4)
+    want, numbers = {}, {}
+    for key in ("hot", "a", None):
+        before, n = None, 0
+        for i, _, at in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            n += before is None or at - before > 3
+            want[i], numbers[i], before = before, n, at
+    for hot_rows in (20, 10_000):
+        assert {r.i: r.b for r in ledger.previous(df, ["k"], ["at", "i"], "at", "at", "b", hot_rows=hot_rows).collect()} == want
+        assert {r.i: r.session_no for r in ledger.sessions(df, "k", "at", "i", 3, hot_rows=hot_rows).collect()} == numbers
+
+
+def test_fills_of_a_tape(spark):
+    trades = [(1, "b", "yes", 5, 0.40, 3.0, False), (1, "b", "yes", 5, 0.40, 3.0, False), (2, "b", "yes", 6, 0.40, 2.0, True), (3, "b", "no", 6, 0.40, 9.0, False), (4, "b", "yes", 7, 0.40, 2.0, None), (5, "b", "yes", 8, 0.39, 1.0, False), (6, "b", "yes", 1, 0.30, 9.0, False)]
+    probes = [(10, "b", "yes", 2, 0.40, 1.0, 4.0, 100), (11, "b", "yes", 2, 0.40, 9.0, 4.0, 100), (12, "b", "yes", 2, 0.40, 9.0, 4.0, 7), (13, "b", "no", 2, 0.30, 0.0, 1.0, 100)]
+    t = spark.createDataFrame(trades, "trade_id int, book string, side string, at int, price double, size double, block boolean")
+    p = spark.createDataFrame(probes, "probe_id int, book string, side string, placed_at int, price double, queue double, quantity double, until int")
+    assert {(r.probe_id, r.filled_at, r.kind) for r in ledger.fresh_fills(t, p).collect()} == {(10, 7, "queue"), (11, 8, "through")}
+
+
+def test_votes_of_rows_with_common_words_only(spark):
+    l = spark.createDataFrame([(k, ["will", "win"]) for k in range(5)] + [(9, ["rare", "will"])], "lid int, toks array<string>")  # noqa: E741
+    r = spark.createDataFrame([(20, ["win", "will", "win"]), (21, ["rare"]), (22, None)], "rid int, toks array<string>")
+    got = {(x.lid, x.rid) for x in linkage.vote_candidates(l, r, "lid", "rid", "toks", 0.1, 2).collect()}
+    assert got == {(k, 20) for k in range(5)} | {(9, 21)}
+
+
 def test_ranking_and_rules(spark):
     df = spark.createDataFrame([("a", k, float(k)) for k in range(5)] + [("b", 9, 0.5), (None, 8, 2.5)], "g string, i int, s double")
     top = ranking.diversified_top(df, "g", [F.col("s").desc(), F.col("i")], 1, 4).collect()
@@ -117,6 +148,8 @@ def test_analytics(spark):
     assert got == {"a": 1.0, "b": None}
     assert {(r.bin, r.n) for r in analytics.histogram(df, "v", 0.0, 2.0, 2).collect()} == {(2, 2), (3, 1)}
     assert analytics.describe(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    assert {(r.g, r.n, r.p50) for r in analytics.describe(df, ["g"], "v", [0.5]).collect()} == {("a", 2, 2.0), ("b", 1, 1.0)}
+    assert {(r.g, r.p50) for r in analytics.describe(df, ["g"], "v", [0.5], exact=False).collect()} == {("a", 1.0), ("b", 1.0)}
 
 
 def test_dates_are_utc(spark):
