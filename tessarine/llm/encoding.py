@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessarine.session import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK_CHARS = 4_096
-OVERLAP_CHARS = 256
+CHUNK_CHARS = 16_384
+OVERLAP_CHARS = 512
 #: Pieces whose ids a worker remembers, and characters up to which it does.
 PIECES, PIECE_CHARS = 100_000, 32
 #: Fixed value: the pre-tokenising pattern that belongs to the published vocabulary.
