@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def squeeze(text: Column) -> Column:
@@ -15,14 +14,29 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def ascii_form(text: Column) -> Column:
-    """Compatibility decomposition without marks and without whatever is not ASCII then."""
+@functools.lru_cache(maxsize=1)
+def _ascii_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII character, that character, and those that decompose to several."""
+    one, to, several = [], [], {}
+    for code in range(128, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one.append(chr(code))
+            to.append(plain)
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(one), "".join(to), several
 
-    @F.pandas_udf(T.StringType())
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
-    return fold(text)
+def ascii_form(text: Column) -> Column:
+    """Compatibility decomposition without marks and without whatever is not ASCII then, by tables of the Unicode database."""
+    one, to, several = _ascii_tables()
+    t = F.translate(text, one, to)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.regexp_replace(F.when(t.rlike("[" + "".join(several) + "]"), spelt).otherwise(t), r"[^\x00-\x7F]", "")
 
 
 def plain_words(text: Column) -> Column:

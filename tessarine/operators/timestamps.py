@@ -189,8 +189,11 @@ def _numbers(texts: list[str]) -> np.ndarray:
     return out
 
 
-def to_micros(texts: pd.Series, zones: pd.Series, version: str) -> np.ndarray:
-    """Microseconds since the epoch in UTC of each text, as nullable integers held in objects."""
+def to_micros(texts: pd.Series, zones: pd.Series, version: str, end_of_day: bool = False) -> np.ndarray:
+    """Microseconds since the epoch in UTC of each text, as nullable integers held in objects.
+
+    ``end_of_day``: a date alone means its last second.
+    """
     result = np.full(len(texts), None, dtype=object)
     groups: dict[str, list[int]] = {}
     lined: dict[int, str] = {}
@@ -213,6 +216,8 @@ def to_micros(texts: pd.Series, zones: pd.Series, version: str) -> np.ndarray:
                 result[k] = int(v)
             continue
         micros, valid = _convert(kind, spans, mask, [lined[k] for k in rows], [held[k] for k in rows], [own[k] for k in rows], version)
+        if end_of_day and "h" not in spans:
+            micros = micros + 86_399_000_000
         for k, v, ok in zip(rows, micros.tolist(), valid.tolist()):
             if ok:
                 result[k] = v
@@ -279,19 +284,25 @@ def _tabled(wall: np.ndarray) -> np.ndarray:
     return wall - np.maximum(0, np.ceil((wall - last) / _CYCLE)).astype(np.int64) * _CYCLE
 
 
-def utc_instant(text: Column, zone: Column) -> Column:
+def instant_or(text: Column, zone: Column, as_of: Column, days: int) -> Column:
+    """The instant of a text, or ``days`` after ``as_of`` where it is no time."""
+    return F.coalesce(utc_instant(text, zone), as_of + F.make_dt_interval(F.lit(days)))
+
+
+def utc_instant(text: Column, zone: Column, end_of_day: bool = False) -> Column:
     """A UTC timestamp for a time in text, null where the text is no time.
 
     A text without zone is in ``zone``, or in UTC where that is null or empty. Dates with slashes and
     the year last are month first where ``zone`` is in America/, day first elsewhere. Fractions are
     cut to microseconds. Null, blank, impossible dates, unknown zones and all other texts give null,
-    whatever their length; 24:00 is the midnight that ends the day.
+    whatever their length; 24:00 is the midnight that ends the day. A date alone means its midnight, or its
+    last second with ``end_of_day``.
     """
     version = tz_version()
 
     @F.pandas_udf("bigint")
     def convert(texts: pd.Series, zones: pd.Series) -> pd.Series:
-        return pd.Series(to_micros(texts, zones, version), dtype="Int64")
+        return pd.Series(to_micros(texts, zones, version, end_of_day), dtype="Int64")
 
     return F.timestamp_micros(convert(text, zone))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tessarine.sources import files
+
 LEVELS = T.ArrayType(T.StructType([T.StructField("price", T.DoubleType()), T.StructField("size", T.DoubleType())]))
 LEFT_MARKET = T.StructType([
     *[T.StructField(c, T.StringType()) for c in ("ticker", "title", "subtitle", "event_ticker", "category", "status", "close_time", "rules_primary", "rules_secondary")],
@@ -63,7 +64,7 @@ class PagedFeed(DataSource):
     """Recorded pages of a paginated feed: ``spark.read.format("paged_feed")``, one partition a page.
 
     Options: ``path`` (folder of page files that all executors see), ``items`` (name of the list in a
-    page). The schema has to be given. As a stream, pages arrive in the order of their names.
+    page). The schema has to be given. As a stream, pages come in the order in which they were written.
     """
 
     @classmethod
@@ -89,17 +90,24 @@ class PagedReader(DataSourceReader):
 
 
 class PagedStream(DataSourceStreamReader):
+    """Pages in the order in which they arrive: by time of writing, then by name. Each is read once, whatever its name."""
+
     def __init__(self, options: Mapping[str, str], schema: T.StructType):
         self.folder, self.items, self.schema = options["path"], options.get("items", "items"), schema
 
+    def _arrived(self) -> list[tuple[int, str, str]]:
+        return sorted((os.stat(p).st_mtime_ns, os.path.basename(p), p) for p in _pages(self.folder))
+
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"pages": 0}
+        return {"written": 0, "name": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"pages": len(_pages(self.folder))}
+        pages = self._arrived()
+        return {"written": pages[-1][0], "name": pages[-1][1]} if pages else self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return [PageFile(p, k) for k, p in enumerate(_pages(self.folder)) if start["pages"] <= k < end["pages"]]
+        first, last = ((o["written"], o["name"]) for o in (start, end))
+        return [PageFile(p, k) for k, (written, name, p) in enumerate(self._arrived()) if first < (written, name) <= last]
 
     def read(self, partition: PageFile) -> Iterator[tuple]:
         return _rows(partition.path, self.items, self.schema)
@@ -144,33 +152,30 @@ class Cache:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.removeprefix("file://")
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+        return f"{self.folder}/CURRENT"
 
-    def read(self, ttl_seconds: float | None = None) -> DataFrame | None:
-        """The current version, or None if there is none or it is older than ``ttl_seconds``."""
-        if not os.path.exists(self._pointer()) or (ttl_seconds is not None and time.time() - os.path.getmtime(self._pointer()) > ttl_seconds):
+    def read(self, ttl_seconds: float | None = None, allow_stale: bool = False) -> DataFrame | None:
+        """The current version, or None if there is none or it is older than ``ttl_seconds`` and not allowed to be."""
+        if not files.exists(self.spark, self._pointer()):
+            return None
+        if ttl_seconds is not None and not allow_stale and files.age_seconds(self.spark, self._pointer()) > ttl_seconds:
             return None
-        with open(self._pointer(), encoding="utf-8") as pointer:
-            return self.spark.read.parquet(os.path.join(self.folder, pointer.read().strip()))
+        return self.spark.read.parquet(f"{self.folder}/{files.read_text(self.spark, self._pointer()).strip()}")
 
     def refresh(self, df: DataFrame, key: str, order: Sequence[F.Column], least_share: float = 0.5) -> bool:
         """Write ``df``, one row a key (last in ``order``), unless it has under ``least_share`` of the rows there."""
         from tessarine.operators.ranking import keep_one
 
         version = f"v-{uuid.uuid4().hex}"
-        os.makedirs(self.folder, exist_ok=True)
-        keep_one(df, [key], order).write.parquet(os.path.join(self.folder, version))
-        fresh = self.spark.read.parquet(os.path.join(self.folder, version)).count()
+        keep_one(df, [key], order).write.parquet(f"{self.folder}/{version}")
+        fresh = self.spark.read.parquet(f"{self.folder}/{version}").count()
         old = self.read()
         if fresh == 0 or (old is not None and fresh < least_share * old.count()):
             return False
-        temporary = self._pointer() + f".{version}"
-        with open(temporary, "w", encoding="utf-8") as pointer:
-            pointer.write(version)
-        os.replace(temporary, self._pointer())
+        files.replace_text(self.spark, self._pointer(), version)
         return True
 
 
@@ -184,8 +189,35 @@ def append_run(df: DataFrame, folder: str, run_id: str, columns: Sequence[str])
 def write_watchlist(df: DataFrame, path: str, order: Sequence[F.Column], size: int, schema_tag: str) -> int:
     """The first ``size`` rows in ``order`` as one versioned JSON document, replaced at once. A report of fixed size."""
     rows = [json.loads(r) for r in df.orderBy(*order).limit(size).toJSON().collect()]
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "w", encoding="utf-8") as out:
-        json.dump({"schema": schema_tag, "rows": rows}, out)
-    os.replace(temporary, path)
+    files.replace_text(df.sparkSession, path, json.dumps({"schema": schema_tag, "rows": rows}))
     return len(rows)
+
+
+def read_watchlist(spark: SparkSession, path: str, schema: T.StructType, schema_tag: str) -> DataFrame:
+    """The rows of a watch list; fails on another version, or where its rows are no list."""
+    held = json.loads(files.read_text(spark, path))
+    if not isinstance(held, dict) or held.get("schema") != schema_tag or not isinstance(held.get("rows"), list):
+        raise ValueError(f"{path} is no watch list of version {schema_tag}")
+    return spark.createDataFrame([tuple(_coerced(r.get(f.name), f.dataType) for f in schema.fields) for r in held["rows"]], schema)
+
+
+def append_rows(df: DataFrame, path: str, columns: Sequence[str], kind: str) -> None:
+    """Append a fixed projection as 'csv' (with a header) or 'json' lines; missing columns are null, others are left out."""
+    have = set(df.columns)
+    picked = df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    writer = picked.write.mode("append")
+    (writer.option("header", True).csv(path) if kind == "csv" else writer.json(path))
+
+
+def write_run_tables(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], folder: str, run_id: str) -> list[str]:
+    """Append each table of a run under its own name, with the projection that is stated for it."""
+    for name, (df, columns) in tables.items():
+        append_run(df, f"{folder}/{name}", run_id, columns)
+    return sorted(tables)
+
+
+def summary_sections(audit: DataFrame, verdict: str, reasons: str, top: int) -> DataFrame:
+    """section, name and n: rows of each verdict, and the ``top`` most frequent reasons. A report of fixed size."""
+    verdicts = audit.groupBy(F.col(verdict).alias("name")).agg(F.count("*").alias("n")).withColumn("section", F.lit("verdict"))
+    said = audit.select(F.explode(reasons).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return verdicts.unionByName(said.orderBy(F.col("n").desc(), "name").limit(top).withColumn("section", F.lit("reason"))).select("section", "name", "n")

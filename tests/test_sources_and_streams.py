@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessarine.sources import readers
@@ -23,6 +24,15 @@ def test_paged_feed_batch_and_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("feed").count() == 12
+    # A page that comes later under a smaller name is read once, and no other page again.
+    (tmp_path / "feed" / "page-000-late.json").write_text(json.dumps({"trades": [{"trade_id": "late"}]}))
+    (tmp_path / "feed" / "a-first-name.json").write_text(json.dumps([{"trade_id": "first"}]))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
+        (tmp_path / "feed" / "0.json").write_text(json.dumps([{"trade_id": "zero"}]))
+    assert sorted(r.trade_id for r in spark.read.parquet(out).collect() if "-" not in r.trade_id) == ["first", "late", "zero"]
+    assert spark.read.parquet(out).count() == 15
 
 
 def test_cache_refuses_a_downgrade(spark, tmp_path):
@@ -33,7 +43,7 @@ def test_cache_refuses_a_downgrade(spark, tmp_path):
     assert not cache.refresh(df.where("k < 2"), "k", [F.col("v").desc()])
     assert not cache.refresh(df.limit(0), "k", [F.col("v").desc()])
     assert {r.v for r in cache.read().collect()} == set(range(10, 20))
-    assert cache.read(ttl_seconds=-1) is None
+    assert cache.read(ttl_seconds=-1) is None and cache.read(ttl_seconds=-1, allow_stale=True) is not None
 
 
 def test_lines_tables_and_watchlist(spark, tmp_path):
@@ -43,6 +53,17 @@ def test_lines_tables_and_watchlist(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "ticker string, net double")
     assert readers.write_watchlist(df, str(tmp_path / "w.json"), [F.col("net").desc()], 2, "v1") == 2
     assert [r["ticker"] for r in json.loads((tmp_path / "w.json").read_text())["rows"]] == ["b", "c"]
+    assert readers.write_watchlist(df, "file://" + str(tmp_path / "w.json"), [F.col("net").desc()], 1, "v1") == 1
+    schema = "ticker string, net double"
+    held = readers.read_watchlist(spark, str(tmp_path / "w.json"), spark.createDataFrame([], schema).schema, "v1")
+    assert [tuple(r) for r in held.collect()] == [("b", 3.0)]
+    with pytest.raises(ValueError, match="v2"):
+        readers.read_watchlist(spark, str(tmp_path / "w.json"), held.schema, "v2")
+    for kind in ("csv", "json"):
+        readers.append_rows(df, str(tmp_path / kind), ["net", "missing"], kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["net", "missing"] and spark.read.json(str(tmp_path / "json")).count() == 3
+    assert readers.write_run_tables({"trades": (df, ["ticker"]), "equity": (df, ["net"])}, str(tmp_path / "many"), "r2") == ["equity", "trades"]
+    assert spark.read.parquet(str(tmp_path / "many" / "equity")).columns == ["net", "run_id"]
     readers.append_run(df, str(tmp_path / "runs"), "r1", ["ticker", "missing"])
     assert spark.read.parquet(str(tmp_path / "runs")).columns == ["ticker", "missing", "run_id"]
 
