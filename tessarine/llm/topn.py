@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a task gathers before it shrinks its buffers again.
-SHRINK_ROWS = 131_072
+#: Rows that a task gathers before it shrinks its buffers again; and rows of buffers that it holds on to.
+SHRINK_ROWS, HELD_ROWS = 131_072, 524_288
 
 
 def _codes(frame: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
@@ -81,6 +81,9 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, item_id: str, n: int
             if rows >= limit:
                 kept = bounded_heap(pd.concat([*([] if kept is None else [kept]), *waiting], ignore_index=True), keys, n)
                 waiting, rows, limit = [], 0, max(SHRINK_ROWS, len(kept))
+                if len(kept) > HELD_ROWS:  # mostly small groups: the buffers go on to the merge, and others are begun
+                    yield from pa.Table.from_pandas(kept, preserve_index=False).to_batches(max_chunksize=65_536)
+                    kept, limit = None, SHRINK_ROWS
         if kept is not None or waiting:
             kept = bounded_heap(pd.concat([*([] if kept is None else [kept]), *waiting], ignore_index=True), keys, n)
             table = pa.Table.from_pandas(kept, preserve_index=False)

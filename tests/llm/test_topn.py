@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from tessarine.llm import topn
 from tessarine.llm.topn import top_n
 
 SCHEMA = "ticker string, strategy string, net_profit double, signal_id bigint, logged_at timestamp, rank string"
@@ -34,6 +35,16 @@ def test_against_brute_force_with_a_hot_group(spark):
         assert got == brute(rows, n)
 
 
+def test_buffers_of_many_small_groups_go_on_to_the_merge(spark, monkeypatch):
+    monkeypatch.setattr(topn, "SHRINK_ROWS", 64)
+    monkeypatch.setattr(topn, "HELD_ROWS", 100)
+    rng = random.Random(2)
+    rows = [(f"t{rng.randrange(900)}", "x", rng.random(), i, None, "clash") for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    got = {tuple(r) for r in top_n(df, ["ticker", "strategy"], "net_profit", "signal_id", 3, tie="logged_at").select("ticker", "strategy", "signal_id", "rank").collect()}
+    assert got == brute(rows, 3)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert top_n(df, ["ticker", "strategy"], "net_profit", "signal_id", 3, tie="logged_at").collect() == []
