@@ -28,6 +28,8 @@ LOOK_ALIKES = {
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "ɡ": "g", "ɑ": "a", "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+#: Sequences with the shape of one letter; the longer match wins over the letter that they begin with.
+SEQUENCES = {"ı\u0307": "i", "ȷ\u0307": "j"}
 #: Hyphens and minus signs with the shape of the ASCII one.
 HYPHENS = "‐‑‒⁃−˗﹣－"
 #: Kinds of compatibility character that look like what they decompose to.
@@ -59,10 +61,12 @@ def mapping() -> dict[str, str]:
 
     def put(char: str, out: str) -> None:
         if table.setdefault(char, out) != out:
-            raise ValueError(f"U+{ord(char):04X} has two outputs: {table[char]!r} and {out!r}")
+            raise ValueError(f"{char!r} has two outputs: {table[char]!r} and {out!r}")
 
     for char, out in LOOK_ALIKES.items():
         put(char, out)
+    for chars, out in SEQUENCES.items():
+        put(chars, out)
     for char in HYPHENS:
         put(char, "-")
     for point in INVISIBLE:
@@ -83,7 +87,7 @@ def mapping() -> dict[str, str]:
     for char, out in list(table.items()):  # images are final: applying the mapping again changes nothing
         again = "".join(table.get(c, c) for c in out)
         if "".join(table.get(c, c) for c in again) != again:
-            raise ValueError(f"U+{ord(char):04X} does not settle")
+            raise ValueError(f"{char!r} does not settle")
         table[char] = again
     return {c: o for c, o in table.items() if c != o}
 

@@ -40,3 +40,7 @@ def test_table_with_every_odd_row(spark):
     out = [(r.audit_id, r.verdict) for r in L.same_look(df, "l", "r").orderBy("audit_id").collect()]
     assert out == [(1, "same look"), (1, "same look"), (2, None), (3, None), (4, "equal"), (5, "same look"), (6, "different")]
     assert L.same_look(df.limit(0), "l", "r").count() == 0
+
+
+def test_the_longest_match_wins():
+    assert L.one_form("ı\u0307n") == "in" and L.one_form("ın") == "ın"
