@@ -17,6 +17,7 @@ Texts are tokenised once: what the models need of them is kept in the checkpoint
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import zlib
@@ -83,10 +84,10 @@ _SLOT = {k: re.compile("|".join(f"(?:{s})" for s in every)) for k, every in SLOT
 _ANGLE, _EMPTY = re.compile(ANGLE), re.compile(EMPTY_VALUES)
 _EMPTY_WORDS = EMPTY_VALUES[EMPTY_VALUES.index("(null") + 1 : EMPTY_VALUES.index(")(?!")].split("|")
 _TRUST = re.compile("|".join(f"(?:{t})" for t in TRUSTED), re.I)
-#: The end of a passage (a line, a sentence, a wide gap or a menu bar), a number, a word, or a run of one sign.
+#: The end of a passage (a line, a sentence, a wide gap or a menu bar), a number, a word, or a sign.
 _TOKEN = re.compile(
     r"(?:(?<=[.!?])|(?<=[.!?][)\]\"”]))\s+|[。！？]+\s*|\s*[\r\n]+\s*|\s{2,}|\s[|]\s|\s-\s(?=[a-z])"
-    r"|\d+(?:[.,:]\d+)*|[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W\d_\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]+|(?:([^\w\s。！？])(?:\s?\1)*)|_+",
+    r"|\d+(?:[.,:]\d+)*|[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W\d_\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]+|[^\w\s。！？]|_+",
 )
 _LINES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+|\s{2,}|\s[|]\s")
 _AROUND = re.compile(r"[^\W_]+|[^\s\w]")
@@ -99,6 +100,7 @@ def _bucket(token: str) -> int:
 
 #: Marks of a feature beside its bucket: one of the first three of its kind in the record, a single word, the last of a passage.
 EARLY, WORD, LAST = 1 << 18, 1 << 19, 1 << 20
+_SIGN = 1 << 21
 
 
 class _Codes(dict):
@@ -111,7 +113,7 @@ class _Codes(dict):
         elif first.isdecimal():
             code = _bucket("<code>" if len(token) == 3 and first in "45" else "<num>")
         else:
-            code = _bucket(token if first.isalpha() else first)
+            code = _bucket(token) if first.isalpha() else _bucket(first) | _SIGN
         if len(self) >= 200_000:
             self.clear()
         self[token] = code
@@ -127,32 +129,30 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Words count in lower case, numbers only as numbers (status codes as codes), each with the word
     before it in the same passage as well.
     """
-    codes, own = _CODES, []
-    for text in texts:
-        own.append([codes[m.group()] for m in _TOKEN.finditer(text.lower())] + [-1])
+    own = [[*map(_CODES.__getitem__, _TOKEN.findall(text.lower())), -1] for text in texts]
     sizes = np.array([len(o) for o in own], dtype=np.int64)
-    flat = np.fromiter((c for o in own for c in o), dtype=np.int64, count=int(sizes.sum()))
-    rec = np.repeat(np.arange(len(own)), sizes)
-    ends = flat < 0
-    words = np.flatnonzero(~ends)
-    w, r = flat[words], rec[words]
-    passage = np.cumsum(ends)[words]
-    joined = passage[1:] == passage[:-1]
-    second = np.flatnonzero(joined) + 1
-    pairs = (w[second - 1] * 1_000_003 + w[second] * 31 + 7) % BUCKETS
-    # Words and pairs of a passage follow one another.
-    code = np.concatenate([w | WORD, pairs])
-    where = np.concatenate([passage, passage[second]])
-    order = np.argsort(where, kind="stable")
-    code, where, r = code[order], where[order], np.concatenate([r, r[second]])[order]
-    if len(code):
-        code[np.append(where[1:] != where[:-1], True)] |= LAST
-        like = np.lexsort((np.arange(len(code)), code & (BUCKETS - 1), r))
-        key = r[like] * BUCKETS + (code[like] & (BUCKETS - 1))
-        start = np.append(True, key[1:] != key[:-1])
-        rank = np.arange(len(key)) - np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-        code[like[rank < 3]] |= EARLY
-    return code.astype(np.int32), np.bincount(r, minlength=len(own)) if len(own) else np.zeros(0, np.int64)
+    flat = np.array(list(itertools.chain.from_iterable(own)), dtype=np.int64)
+    rec, ends = np.repeat(np.arange(len(own)), sizes), flat < 0
+    # A run of one sign counts once.
+    kept = ~ends
+    kept[1:] &= (flat[1:] != flat[:-1]) | (flat[1:] & _SIGN == 0)
+    w, r, passage = flat[kept] & (BUCKETS - 1), rec[kept], np.cumsum(ends)[kept]
+    if not len(w):
+        return np.zeros(0, np.int32), np.zeros(len(own), np.int64)
+    inner = passage[1:] == passage[:-1]
+    both = np.full((len(w), 2), -1, dtype=np.int64)
+    both[:, 0] = w | WORD
+    both[:-1, 1][inner] = ((w[:-1] * 1_000_003 + w[1:] * 31 + 7) % BUCKETS)[inner]
+    both[np.append(~inner, True), 0] |= LAST
+    code, there = both.ravel(), both.ravel() >= 0
+    code, r = code[there], np.repeat(r, 2)[there]
+    key = r * BUCKETS + (code & (BUCKETS - 1))
+    like = np.argsort(key)
+    key = key[like]
+    start = np.append(True, key[1:] != key[:-1])
+    rank = np.arange(len(key)) - np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+    code[like[rank < 3]] |= EARLY
+    return code.astype(np.int32), np.bincount(r, minlength=len(own))
 
 
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
