@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -34,7 +35,7 @@ def ascii_form(text: Column) -> Column:
     """Compatibility decomposition without marks and without whatever is not ASCII then, by tables of the Unicode database."""
     one, to, several = _ascii_tables()
     t = F.translate(text, one, to)
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")  # one literal, which is folded
     spelt = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     return F.regexp_replace(F.when(t.rlike("[" + "".join(several) + "]"), spelt).otherwise(t), r"[^\x00-\x7F]", "")
 

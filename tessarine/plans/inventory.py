@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessarine.functions import entities, parsing, similarity, text
-from tessarine.operators import books, ledger, linkage, rules, timestamps
+from tessarine.operators import books, contracts, ledger, linkage, rules, timestamps
 from tessarine.plans.relational import Source, query
 from tessarine.sources import feeds, readers
 
@@ -594,3 +594,136 @@ def f13(t):
 def b3(t):
     once = t("match_audit").select("audit_id", "verdict", "reasons").dropDuplicates(["audit_id"])
     return readers.summary_sections(once, "verdict", "reasons", 5)
+
+
+# Contracts in full
+
+
+_NORM = r"' ' || trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9%$.\-\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ') || ' '"
+_DOCS = "d as (select doc_id, text, source, " + _NORM.format("text") + r" as t from documents where text is not null and regexp_matches(text, '^[\x00-\x7F]*$') and length(text) < 100000)"
+
+
+def _ascii_docs(t: Source):
+    return t("documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.length("text") < 100000))
+
+
+@query("d2_domains", f"""
+    with {_DOCS} select doc_id, case when contains(source, 'sport') then 'sports' when regexp_matches(t, '\\b(vs|championship|league|tournament|super bowl|ufc|nba|nfl|nhl|mlb|world cup|ballon d or|grand slam|touchdown|yards|chess olympiad)\\b') then 'sports'
+        when regexp_matches(t, '\\b(president|election|nominee|congress|senate|governor|prime minister)\\b') then 'politics' when regexp_matches(t, '\\b(inflation|gdp|unemployment|interest rate|fed|cpi|jobs report)\\b') then 'economics'
+        when regexp_matches(t, '\\b(bitcoin|ethereum|crypto|solana)\\b') then 'crypto' when regexp_matches(t, '\\b(movie|oscar|grammy|emmy|box office|album|actor|actress|spotify|google search)\\b') then 'entertainment' else 'other' end as domain from d""")
+def d2(t):
+    return _ascii_docs(t).select("doc_id", contracts.domain([F.col("source")], contracts.normal(F.col("text"))).alias("domain"))
+
+
+@query("d3_propositions", r"""
+    with n as (select sig_id, """ + _NORM.format("polymarket_question") + r""" as t from poly_signature where regexp_matches(polymarket_question, '^[\x00-\x7F]*$'))
+    select sig_id, case when regexp_matches(t, '\b(compete|participate|appear|enter|play in|make the field|make the ballot|run for|running for)\b') then 'participation'
+        when contains(t, 'primary') and regexp_matches(t, '\b(win|winner|nominee)\b') then 'primary_winner' when contains(t, 'top half') then 'top_half' when regexp_matches(t, '\btop [0-9]+\b') or regexp_matches(t, '\b(finish|rank|be) [0-9]+\b') then 'rank_threshold'
+        when regexp_matches(t, '\b(leader|lead the|most rushing|most receiving|most passing|most goals|most points|most searched)\b') then 'leader' when regexp_matches(t, '\bexactly [0-9]') then 'exact_count' when regexp_matches(t, '\bbetween \$?[0-9]') then 'range'
+        when regexp_matches(t, ' (at least|more than|greater than|above|over) ') then 'above_threshold' when regexp_matches(t, ' (at most|less than|fewer than|below|under) ') then 'below_threshold' when contains(t, 'relegat') then 'relegation' when contains(t, 'qualif') then 'qualify'
+        when contains(t, 'make the playoffs') or contains(t, 'reach the playoffs') then 'make_playoffs' when regexp_matches(t, '\b(nominee|nomination|win|winner|wins|champion|championship|most seats)\b') then 'winner' when regexp_matches(t, '^ (will|is|does) ') then 'binary_event' end as kind from n""")
+def d3(t):
+    rows = t("poly_signature").where(F.col("polymarket_question").rlike(r"^[\x00-\x7F]*$"))
+    return rows.select("sig_id", contracts.proposition(contracts.normal(F.col("polymarket_question"))).alias("kind"))
+
+
+@query("d4_metrics", f"""
+    with {_DOCS} select doc_id, case when regexp_matches(t, '\\bhome runs?\\b') then 'home_runs' when regexp_matches(t, '\\bgoals?\\b') then 'goals' when regexp_matches(t, '\\bassists?\\b') then 'assists' when regexp_matches(t, '\\bpoints?\\b') then 'points'
+        when regexp_matches(t, '\\bseats?\\b') then 'seats' when regexp_matches(t, '\\bvotes?\\b') then 'votes' when regexp_matches(t, '\\bsearch(ed|es)?\\b') then 'search_rank' when regexp_matches(t, '\\bmarket cap(italization)?\\b') then 'market_cap' when regexp_matches(t, '\\b(inflation|cpi)\\b') then 'inflation'
+        when regexp_matches(t, '\\bunemployment\\b') then 'unemployment' when regexp_matches(t, '\\bgdp\\b') then 'gdp' when regexp_matches(t, '\\bfed(eral reserve)? (rate|funds)|\\binterest rate\\b') then 'interest_rate' when regexp_matches(t, '\\btemperature\\b|\\bdegrees?\\b') then 'temperature' end as metric,
+        case when regexp_matches(t, '\\bpremier league\\b|\\bepl\\b') then 'premier_league' when regexp_matches(t, '\\bworld cup\\b') then 'fifa_world_cup' when regexp_matches(t, '\\bus open\\b') then 'us_open' end as competition from d
+        where not regexp_matches(t, '\\b(rushing|receiving|passing|receptions?|sacks?|interceptions?)\\b')""")
+def d4(t):
+    rows = _ascii_docs(t).where(~F.lower("text").rlike(r"\b(rushing|receiving|passing|receptions?|sacks?|interceptions?)\b"))
+    return rows.select("doc_id", contracts.normal(F.col("text")).alias("t")).select("doc_id", contracts.metric(F.col("t")).alias("metric"), contracts.competition(F.col("t")).alias("competition"))
+
+
+@query("d7_places", f"""
+    with {_DOCS}, o as (select doc_id, t, case when regexp_matches(t, '\\bhouse( of representatives)?\\b') then 'us_house' when regexp_matches(t, '\\bsenate\\b') then 'us_senate' when regexp_matches(t, '\\bgovernor|gubernatorial\\b') then 'governor'
+        when regexp_matches(t, '\\bpresident|presidential\\b') then 'president' when regexp_matches(t, '\\bprime minister\\b') then 'prime_minister' when regexp_matches(t, '\\bmayor|mayoral\\b') then 'mayor' end as office from d),
+    u as (select *, coalesce(office in ('us_house', 'us_senate'), false) or regexp_matches(t, '\\b(u s|us|united states|midterm|congress)\\b') as us from o)
+    select doc_id, office, case when us then 'US' when regexp_matches(t, '\\bunited kingdom\\b') then 'GB' when regexp_matches(t, '\\bargentina\\b') then 'AR' when regexp_matches(t, '\\baustralia\\b') then 'AU' when regexp_matches(t, '\\bgermany\\b') then 'DE' when regexp_matches(t, '\\bireland\\b') then 'IE'
+        when regexp_matches(t, '\\bbrazil\\b') then 'BR' when regexp_matches(t, '\\bcanada\\b') then 'CA' when regexp_matches(t, '\\bfrance\\b') then 'FR' when regexp_matches(t, '\\bmexico\\b') then 'MX' when regexp_matches(t, '\\bchina\\b') then 'CN' when regexp_matches(t, '\\bindia\\b') then 'IN'
+        when regexp_matches(t, '\\bitaly\\b') then 'IT' when regexp_matches(t, '\\bjapan\\b') then 'JP' when regexp_matches(t, '\\bspain\\b') then 'ES' when regexp_matches(t, '\\busa\\b') then 'US' when regexp_matches(t, '\\buk\\b') then 'GB' end as country from u""")
+def d7(t):
+    rows = _ascii_docs(t).select("doc_id", contracts.normal(F.col("text")).alias("t"))
+    held = rows.withColumn("office", contracts.office(F.col("t")))
+    return held.select("doc_id", "office", contracts.jurisdiction(F.col("t"), F.col("office"))["country"].alias("country"))
+
+
+@query("d13_legacy_join", """
+    with l as (select sig_id, lower(subject) as s, regexp_extract(kalshi_title, '\\b(20[0-9]{2})\\b', 1) as y, metric as m from kalshi_signature where regexp_matches(subject, '^[A-Za-z]{3,} [A-Za-z]{3,}$')),
+    r as (select sig_id, lower(subject) as s, regexp_extract(polymarket_question, '\\b(20[0-9]{2})\\b', 1) as y, metric as m from poly_signature where regexp_matches(subject, '^[A-Za-z]{3,} [A-Za-z]{3,}$'))
+    select l.sig_id as left_id, r.sig_id as right_id from l join r on l.s = r.s and l.y = r.y and l.m is not distinct from r.m""")
+def d13(t):
+    def side(name: str, title: str, out: str):
+        rows = t(name).where(F.col("subject").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$"))
+        key = contracts.legacy_key(F.col(title), F.col("subject"))
+        return rows.select(F.col("sig_id").alias(out), key["subject"].alias("who"), F.coalesce(key["year"].cast("string"), F.lit("")).alias("year"), "metric")
+
+    left, right = side("kalshi_signature", "kalshi_title", "left_id"), side("poly_signature", "polymarket_question", "right_id")
+    return linkage.null_safe_join(left, right, ["who", "year", "metric"]).select("left_id", "right_id")
+
+
+@query("d16_families", """
+    select sig_id, case when domain = 'politics' then case when metric in ('seats', 'votes') then concat_ws(':', 'politics_count', coalesce(office_scope, 'generic'), metric, coalesce(proposition, 'unknown')) when office_scope is not null then concat_ws(':', 'politics_office', office_scope, coalesce(proposition, 'unknown')) else concat_ws(':', 'politics_generic', coalesce(proposition, 'unknown')) end
+        when domain = 'sports' then case when metric in ('goals', 'assists', 'points') then concat_ws(':', 'sports_stat', metric, coalesce(proposition, 'unknown')) when competition is not null then concat_ws(':', 'sports_comp', competition, coalesce(proposition, 'unknown')) else concat_ws(':', 'sports_event', coalesce(proposition, 'unknown')) end
+        when domain in ('crypto', 'economics', 'weather') then concat_ws(':', domain, coalesce(metric, 'generic'), coalesce(proposition, 'unknown'))
+        when proposition in ('range', 'exact_count') and regexp_matches(' ' || lower(kalshi_title) || ' ', '\\b(bitcoin|ethereum|solana|gold|silver|platinum|oil|brent|wti)\\b') then concat_ws(':', 'asset_threshold', proposition)
+        when proposition in ('range', 'exact_count') and metric is not null then concat_ws(':', 'numeric', metric, proposition) else concat_ws(':', coalesce(domain, 'other'), coalesce(proposition, 'unknown')) end as family from kalshi_signature""")
+def d16(t):
+    c = F.col
+    return t("kalshi_signature").select("sig_id", contracts.family(c("domain"), c("proposition"), c("metric"), c("office_scope"), c("competition"), contracts.normal(c("kalshi_title"))).alias("family"))
+
+
+@query("d17_anchors", r"""
+    with w as (select sig_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(kalshi_title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3 and not regexp_matches(x, '^20[0-9]{2}$')))) as x from kalshi_signature)
+    select sig_id, list_filter(x, lambda y: y not in ('sports', 'sport', 'gaming', 'game', 'games', 'winner', 'wins', 'match', 'matches', 'league', 'series', 'tournament', 'playoffs', 'regular', 'season', 'group', 'stage', 'weather', 'rain', 'rainfall', 'temperature', 'degrees', 'high', 'low', 'daily',
+        'election', 'elections', 'presidential', 'house', 'senate', 'seat', 'seats', 'price', 'market', 'value', 'rate', 'percent', 'percentage')) as anchors from w""")
+def d17(t):
+    return t("kalshi_signature").select("sig_id", contracts.anchors(F.col("kalshi_title")).alias("anchors"))
+
+
+@query("d9_left_signatures", r"""
+    with r as (select distinct rule_id, kalshi_title, kalshi_rules_primary, polymarket_resolution_source from raw_settlement_rules where regexp_matches(coalesce(kalshi_title, ''), '^[\x00-\x7F]*$')),
+    n as (select *, """ + _RULE_TEXT.format("kalshi_rules_primary") + " as t, " + _DATE_SQL.format("kalshi_rules_primary") + r""" as dl, regexp_extract(kalshi_title, '\b(20[0-9]{2})\b', 1) as y from r)
+    select rule_id, nullif(y, '') as season, t <> '' as rules_present, len(""" + _FLAG_LIST + r""") as n_flags, epoch(dl)::bigint + 86399 as deadline, case when regexp_matches(lower(kalshi_title), '\bwomen') then 'women' end as gender from n""")
+def d9(t):
+    c = F.col
+    rows = t("raw_settlement_rules").select("rule_id", "kalshi_title", "kalshi_rules_primary", "polymarket_resolution_source", c("fetched_at").cast("timestamp").alias("fetched_at")).dropDuplicates(["rule_id"]).where(F.coalesce("kalshi_title", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    s = contracts.signatures(rows, ["rule_id"], "kalshi_title", None, [], "kalshi_rules_primary", "polymarket_resolution_source", ["fetched_at"])
+    return s.select("rule_id", "season", "rules_present", F.size("flags").cast("bigint").alias("n_flags"), "deadline", "gender")
+
+
+@query("d1_right_signatures")
+def d1(t):
+    c = F.col
+    rows = t("poly_signature").withColumn("seen", c("seen_at").cast("timestamp")).withColumn("ends", F.timestamp_seconds(F.when(F.abs("end_ts") < 1e11, c("end_ts"))))
+    return contracts.signatures(rows, ["sig_id"], "polymarket_question", "subject", ["domain"], "context", "resolution_source", ["seen", "ends"])
+
+
+@query("g1_verified_structure", """
+    with p as (select a.sig_id as left_id, b.sig_id as right_id, a.threshold_low as al, b.threshold_low as bl, a.end_ts as ae, b.end_ts as be from kalshi_signature a join poly_signature b
+        on a.proposition is not distinct from b.proposition and a.season_year is not distinct from b.season_year and a.metric is not distinct from b.metric and a.stage is not distinct from b.stage and lower(a.subject) = lower(b.subject))
+    select left_id, right_id from p where (al is null and bl is null or abs(al - bl) <= 1e-9) and coalesce(abs(ae - be) <= 604800, true)""")
+def g1(t):
+    side = lambda name, i, x: t(name).where("subject is not null").select(F.col("sig_id").alias(i), F.lower("subject").alias("who"), "proposition", "season_year", "metric", "stage", F.col("threshold_low").alias(f"{x}l"), F.col("end_ts").alias(f"{x}e"))
+    pairs = linkage.null_safe_join(side("kalshi_signature", "left_id", "a"), side("poly_signature", "right_id", "b"), ["who", "proposition", "season_year", "metric", "stage"])
+    bounds = F.coalesce(F.abs(F.col("al") - F.col("bl")) <= 1e-9, F.col("al").isNull() & F.col("bl").isNull())
+    return pairs.where(bounds & F.coalesce(F.abs(F.col("ae") - F.col("be")) <= 604800, F.lit(True))).select("left_id", "right_id")
+
+
+@query("g2_eight_keys", """
+    with k as (select 'l' as side, sig_id, lower(subject) as s, season_year as y, metric as m, competition as c, stage as g, office_scope as o, threshold_low as t, proposition as p, domain as d from kalshi_signature
+            union all select 'r', sig_id, lower(subject), season_year, metric, competition, stage, office_scope, threshold_low, proposition, domain from poly_signature),
+    x as (select side, sig_id, y, unnest([s || '|y|' || y, s || '|m|' || m, s || '|c|' || c, s || '|g|' || g, s || '|o|' || o, s || '|p|' || p, s || '|d|' || d, m || '|t|' || cast(round(t * 1000)::bigint as varchar)]) as key from k),
+    h as (select a.sig_id as left_id, b.sig_id as right_id, count(*) as hits from x a join x b on a.key = b.key and a.side = 'l' and b.side = 'r' group by 1, 2),
+    v as (select h.*, a.season_year as ya, b.season_year as yb from h join kalshi_signature a on a.sig_id = left_id join poly_signature b on b.sig_id = right_id)
+    select left_id, right_id, hits from v where ya is null or yb is null or ya = yb""")
+def g2(t):
+    bar = lambda a, tag, b: F.concat(a, F.lit(f"|{tag}|"), b)
+    s = F.lower("subject")
+    keys = F.array(*[bar(s, tag, F.col(c)) for tag, c in (("y", "season_year"), ("m", "metric"), ("c", "competition"), ("g", "stage"), ("o", "office_scope"), ("p", "proposition"), ("d", "domain"))], bar(F.col("metric"), "t", F.round(F.col("threshold_low") * 1000).cast("bigint").cast("string")))
+    side = lambda name, i, y: t(name).select(F.col("sig_id").alias(i), F.col("season_year").alias(y), F.explode(keys).alias("key")).where("key is not null")
+    met = side("kalshi_signature", "left_id", "ya").join(side("poly_signature", "right_id", "yb"), "key").where("ya is null or yb is null or ya = yb")
+    return met.groupBy("left_id", "right_id").agg(F.count("*").alias("hits"))
