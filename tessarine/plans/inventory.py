@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessarine.functions import entities, parsing, similarity, text
-from tessarine.operators import books, contracts, ledger, linkage, rules, timestamps
+from tessarine.operators import books, contracts, ledger, linkage, rules, scoring, timestamps
 from tessarine.plans.relational import Source, query
 from tessarine.sources import feeds, readers
 
@@ -727,3 +727,59 @@ def g2(t):
     side = lambda name, i, y: t(name).select(F.col("sig_id").alias(i), F.col("season_year").alias(y), F.explode(keys).alias("key")).where("key is not null")
     met = side("kalshi_signature", "left_id", "ya").join(side("poly_signature", "right_id", "yb"), "key").where("ya is null or yb is null or ya = yb")
     return met.groupBy("left_id", "right_id").agg(F.count("*").alias("hits"))
+
+
+# Lookups, payloads and the classifier
+
+
+@query("a2_series_lookup", """
+    with s as (select distinct signal_id, split_part(ticker, '-', 1) as series from signals where ticker is not null), d as (select split_part(ticker, '-', 1) as series, min(domain) as fee_type, count(*) as markets from kalshi_signature group by 1)
+    select signal_id, s.series, fee_type, markets from s left join d using (series)""")
+def a2(t):
+    series = lambda c: F.split_part(c, F.lit("-"), F.lit(1))
+    dimension = t("kalshi_signature").groupBy(series(F.col("ticker")).alias("series")).agg(F.min("domain").alias("fee_type"), F.count("*").alias("markets"))
+    rows = t("signals").where("ticker is not null").select("signal_id", series(F.col("ticker")).alias("series")).dropDuplicates(["signal_id"])
+    return linkage.validated_merge(rows, dimension, "series").select("signal_id", "series", "fee_type", "markets")
+
+
+@query("a5_parsed_books", f"""
+    with {_LEVELS} select book, count(*) as levels, min(price) as best_ask, min_by(size, (price, size)) as best_size from l where side = 'yes' and price > 0 and price < 1 and size > 0 group by book""")
+def a5(t):
+    pair = F.concat(F.lit('["'), F.col("price").cast("string"), F.lit('", '), F.col("size").cast("string"), F.lit("]"))
+    payload = _levels(t).where("side = 'yes'").groupBy("book").agg(F.concat(F.lit("["), F.array_join(F.collect_list(pair), ", "), F.lit(', ["x", "1"]]')).alias("text"))
+    held = payload.select("book", books.ladder(books.parsed_levels(F.col("text"))).alias("x")).where("size(x) > 0")
+    first = F.element_at("x", F.lit(1))
+    return held.select("book", F.size("x").cast("bigint").alias("levels"), first["price"].alias("best_ask"), first["size"].alias("best_size"))
+
+
+@query("a18_token_order", """
+    with m as (select vec_id, case when vec_id % 3 = 0 then ['No', 'Yes'] when vec_id % 3 = 1 then ['Yes', 'No'] else ['A', 'B', 'C'] end as outcomes, ['t1', 't2'] as tokens from semantic_poly)
+    select vec_id, case when outcomes = ['No', 'Yes'] then ['t2', 't1'] else tokens end as ids from m""")
+def a18(t):
+    outcomes = F.when(F.col("vec_id") % 3 == 0, '["No","Yes"]').when(F.col("vec_id") % 3 == 1, '["Yes","No"]').otherwise('["A","B","C"]')
+    rows = t("semantic_poly").select("vec_id", outcomes.alias("outcomes"), F.lit('["t1","t2"]').alias("tokens"))
+    return rows.select("vec_id", readers.ordered_tokens("tokens", "outcomes").alias("ids"))
+
+
+@query("a20_best_sides", f"""
+    with {_LEVELS}, u as (select * from l where price > 0 and size > 0)
+    select book, min(price) filter (side = 'no') as best_ask, min_by(size, (price, size)) filter (side = 'no') as ask_size, max(price) filter (side = 'yes') as best_bid from u group by book""")
+def a20(t):
+    level = F.struct("price", "size")
+    nested = _levels(t).groupBy("book").agg(F.collect_list(F.when(F.col("side") == "no", level)).alias("asks"), F.collect_list(F.when(F.col("side") == "yes", level)).alias("bids"))
+    held = nested.select("book", readers.tidy_quotes("asks", "ask").alias("a"), readers.tidy_quotes("bids", "bid").alias("b"))
+    return held.select("book", F.col("a.price").alias("best_ask"), F.col("a.size").alias("ask_size"), F.col("b.price").alias("best_bid"))
+
+
+@query("a14_open_rows", """
+    select distinct rule_id from raw_settlement_rules where not coalesce(not kalshi_fetch_ok and not polymarket_fetch_ok, false) and coalesce(polymarket_fetch_ok, true) and coalesce(trim(poly_id, ' '), '') <> '' and coalesce(trim(poly_question, ' '), '') <> ''""")
+def a14(t):
+    rows = t("raw_settlement_rules").withColumn("closed", ~F.col("kalshi_fetch_ok") & ~F.col("polymarket_fetch_ok"))
+    return feeds.usable(rows, "closed", "polymarket_fetch_ok", "poly_id", "poly_question").select("rule_id").distinct()
+
+
+@query("h6_pair_probabilities")
+def h6(t):
+    c = t("hybrid_candidate").select("cand_id", "embedding_score", "deterministic_strength", F.size("retrieval_sources").alias("n_sources"), (F.col("equivalence_probability") >= 0.5).alias("same")).dropDuplicates(["cand_id"])
+    scored = scoring.decided(scoring.pair_probabilities(c, "cand_id", ["embedding_score", "deterministic_strength", "n_sources"], "same"), 0.5)
+    return scored.select("cand_id", F.round("probability", 4).alias("probability"), "decision")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessarine.functions import entities, parsing, text
-from tessarine.operators import rules
+from tessarine.operators import contracts, rules, scoring
 
 
 @pytest.mark.parametrize(("said", "flags"), [
@@ -65,3 +65,21 @@ def test_dates_and_numbers(spark):
     assert tuple(tick) == (0.001, 0.01, 0.01, 1.7501, "bitcoin")
     seasons = [r.s for r in spark.createDataFrame([("2026-2027",), ("2026 - 27",), ("2026/27",), ("x",)], "t string").select(text.season_key(F.col("t")).alias("s")).collect()]
     assert seasons == ["2026-2027", "2026-2027", "2026", None]
+
+
+def test_pair_probabilities(spark):
+    rows = [(k, k / 200 if k % 7 else None, (k > 100) if k % 3 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, f double, same boolean")
+    got = {r.k: r for r in scoring.decided(scoring.pair_probabilities(df, "k", ["f"], "same"), 0.5).collect()}
+    assert len(got) == 200 and got[190].decision == "PASS" and got[10].decision == "REJECT" and all(0 <= r.probability <= 1 for r in got.values())
+    assert scoring.decided(scoring.pair_probabilities(df.where("same"), "k", ["f"], "same"), 0.5).first().decision == "UNRESOLVED"
+
+
+def test_full_signature(spark):
+    row = ("Will Alba Noor win the 2027-28 women's FIFA World Cup?", "Overtime is included. Reuters decides by March 3, 2028.", "https://www.official-source.com Gazette", None)
+    df = spark.createDataFrame([(1, *row), (2, "Will the Republicans win more than 50 seats in the US House in Texas TX-07?", None, None, None), (3, None, None, None, None)], "i int, title string, rules string, source string, closes timestamp")
+    got = {r.i: r for r in contracts.signatures(df, ["i"], "title", None, [], "rules", "source", ["closes"]).collect()}
+    a, b = got[1], got[2]
+    assert (a.domain, a.proposition, a.subject, a.competition, a.season, a.flags, a.source_families, a.gender) == ("sports", "winner", "Alba Noor", "fifa_world_cup", "2027-2028", ["overtime_included"], ["credible_reporting"], "women")
+    assert (b.office, b.country, b.region, b.district, b.metric, b.threshold_op, b.threshold_low, b.family) == ("us_house", "US", "US-TX", "US-TX-07", "seats", "gt", 50.0, "numeric:seats:above_threshold")
+    assert got[3].domain == "other" and got[3].proposition is None and got[3].coverage == 0.0
