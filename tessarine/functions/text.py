@@ -82,9 +82,7 @@ def tokens(text: Column, least: int = 2, stop: list[str] | None = None) -> Colum
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the squeezed words; none for shorter texts."""
-    t = spaced_words(text)
-    starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1)))
-    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(n))))
+    return F.array_distinct(F.regexp_extract_all(spaced_words(text), F.lit(f"(?=(.{{{n}}}))"), 1))
 
 
 def first_filled(*values: Column) -> Column:
