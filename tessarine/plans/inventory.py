@@ -320,8 +320,10 @@ def e8(t):
     select cand_id, mask, list_sort(list_distinct(coalesce(s, []))) as unpacked from m""")
 def g4(t):
     rows = t("hybrid_candidate").select("cand_id", "retrieval_sources").dropDuplicates(["cand_id"])
-    # The retrieval passes are a closed vocabulary; a bitmap holds 62 of them.
-    names = [r[0] for r in rows.select(F.explode("retrieval_sources").alias("s")).distinct().orderBy("s").limit(62).collect()]
+    # The retrieval passes are a closed vocabulary; one that a bitmap cannot hold is refused.
+    names = [r[0] for r in rows.select(F.explode("retrieval_sources").alias("s")).distinct().orderBy("s").limit(63).collect()]
+    if len(names) > 62:
+        raise ValueError("a bitmap holds at most 62 sources")
     held = rows.select("cand_id", entities.packed(F.col("retrieval_sources"), names).alias("mask"))
     return held.select("cand_id", "mask", F.coalesce(entities.unpacked(F.col("mask"), names), F.array().cast("array<string>")).alias("unpacked"))
 
@@ -783,3 +785,30 @@ def h6(t):
     c = t("hybrid_candidate").select("cand_id", "embedding_score", "deterministic_strength", F.size("retrieval_sources").alias("n_sources"), (F.col("equivalence_probability") >= 0.5).alias("same")).dropDuplicates(["cand_id"])
     scored = scoring.decided(scoring.pair_probabilities(c, "cand_id", ["embedding_score", "deterministic_strength", "n_sources"], "same"), 0.5)
     return scored.select("cand_id", F.round("probability", 4).alias("probability"), "decision")
+
+
+@query("e6_entity_verdicts")
+def e6(t):
+    side = lambda name, i, c: t(name).where("season_year is not null and metric is not null").select(F.col("sig_id").alias(i), "season_year", "metric", F.col("subject").alias(c))
+    pairs = side("kalshi_signature", "left_id", "x").join(side("poly_signature", "right_id", "z"), ["season_year", "metric"]).where("x is null or z is null or left(lower(x), 2) = left(lower(z), 2)")
+    return pairs.select("left_id", "right_id", entities.entity_verdict(F.col("x"), F.col("z")).alias("same"))
+
+
+@query("q1_reason_maps", """
+    with m as (select distinct audit_id, verdict, reasons from match_audit), x as (select verdict, unnest(reasons) as r from m), c as (select verdict, r, count(*) as n from x group by 1, 2), k as (select * from c where n > 1)
+    select verdict, list(r order by r) as names, list(n * 2 order by r) as doubled, max(n) as most from k group by verdict""")
+def q1(t):
+    once = t("match_audit").select("audit_id", "verdict", "reasons").dropDuplicates(["audit_id"])
+    counts = once.select("verdict", F.explode("reasons").alias("r")).groupBy("verdict", "r").agg(F.count("*").alias("n"))
+    held = counts.groupBy("verdict").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r", "n")))).alias("m"))
+    kept = held.select("verdict", F.map_filter("m", lambda _, n: n > 1).alias("m")).where(F.size("m") > 0)
+    return kept.select("verdict", F.map_keys("m").alias("names"), F.map_values(F.transform_values("m", lambda _, n: n * 2)).alias("doubled"), F.array_max(F.map_values("m")).alias("most"))
+
+
+@query("a21_tolerant_payloads", """
+    select vec_id, case when vec_id % 4 = 3 then 0 else 2 end as n_rows, case when vec_id % 4 <> 3 then poly_id end as first_id from semantic_poly""")
+def a21(t):
+    rows = F.concat(F.lit('[{"id": "'), F.col("poly_id"), F.lit('"}, {"id": "x"}]'))
+    payload = F.when(F.col("vec_id") % 4 == 0, rows).when(F.col("vec_id") % 4 == 1, F.concat(F.lit('{"markets": '), rows, F.lit("}"))).when(F.col("vec_id") % 4 == 2, F.concat(F.lit('{"data": {"items": '), rows, F.lit("}}"))).otherwise('{"error": "none"}')
+    found = feeds.payload_rows(payload, "struct<id:string>")
+    return t("semantic_poly").select("vec_id", found.alias("r")).select("vec_id", F.size("r").cast("int").alias("n_rows"), F.get("r", F.lit(0))["id"].alias("first_id"))

@@ -156,6 +156,15 @@ class RecordedFeed:
 # Predicates and merges over what the feeds gave
 
 
+def payload_rows(text: Column, row: str, names: Sequence[str] = ("data", "markets", "items", "results")) -> Column:
+    """The rows (a SQL type) of a JSON payload: the list itself, or the one under a known name, also one level further down; empty if there is none."""
+    kind = f"array<{row}>"
+    under = [F.get_json_object(text, f"$.{a}") for a in names] + [F.get_json_object(text, f"$.{a}.{b}") for a in names for b in names]
+    lists = [F.when(F.ltrim(x).startswith("["), x) for x in [text, *under]]
+    return F.coalesce(F.from_json(F.coalesce(*lists), kind), F.array().cast(kind))
+
+
+
 def usable(row: DataFrame, closed: str, active: str, key: str, question: str) -> DataFrame:
     """Rows that are not closed and not inactive (null is neither), with a key and a question."""
     filled = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""
