@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessarine.functions.text import rule_text
@@ -82,16 +84,14 @@ def _any(text: Column, phrases: list[str]) -> Column:
     return out
 
 
-def basis(text: Column) -> Column:
-    """What decides: the first basis whose phrases the text has; null if none."""
-    t = rule_text(text)
+def basis_of(t: Column) -> Column:
+    """``basis`` of a text that is in the form of ``rule_text`` already."""
     seats = t.rlike(SEATS) | (t.contains("election") & F.concat(F.lit(" "), t, F.lit(" ")).contains(" seats ") & _any(t, ["resolves to", "resolve based on", "determined by"]))
     return F.coalesce(*[F.when(_any(t, p) | seats if name == "event_result" else _any(t, p), F.lit(name)) for name, p in BASES.items()])
 
 
-def material_flags(text: Column) -> Column:
-    """The sorted names of the material clauses of a text; empty for null."""
-    t = F.coalesce(rule_text(text), F.lit(""))
+def flags_of(t: Column) -> Column:
+    """``material_flags`` of a text in that form."""
     found = [F.when(t.rlike(FALLBACK_OTHER), F.lit("fallback_other"))]
     for name, (groups, without) in FLAGS.items():
         holds = ~_any(t, without) if without else F.lit(True)
@@ -101,10 +101,24 @@ def material_flags(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def sources_of(t: Column) -> Column:
+    """``source_families`` of a text in that form."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(_any(t, p), F.lit(name)) for name, p in SOURCES.items()])))
+
+
+def basis(text: Column) -> Column:
+    """What decides: the first basis whose phrases the text has; null if none."""
+    return basis_of(rule_text(text))
+
+
+def material_flags(text: Column) -> Column:
+    """The sorted names of the material clauses of a text; empty for null."""
+    return flags_of(F.coalesce(rule_text(text), F.lit("")))
+
+
 def source_families(text: Column) -> Column:
     """The sorted families of sources that a text names; empty for none."""
-    t = F.coalesce(rule_text(text), F.lit(""))
-    return F.array_sort(F.array_compact(F.array(*[F.when(_any(t, p), F.lit(name)) for name, p in SOURCES.items()])))
+    return sources_of(F.coalesce(rule_text(text), F.lit("")))
 
 
 def deadline(text: Column) -> Column:
@@ -120,6 +134,25 @@ def profile(text: Column) -> Column:
     return F.struct(b.alias("basis"), f.alias("flags"), s.alias("sources"), d.alias("deadline"), present.alias("present"), F.when(present, filled / 4).otherwise(0.0).alias("coverage"))
 
 
+def with_profile(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """``df`` with the parts of ``profile`` as columns of their own: prefix_basis, prefix_flags and so on.
+
+    The text is brought into its form once, and what is read from it is not computed again for every use.
+    """
+    name = f"__{prefix}_text"
+    held = df.withColumn(name, F.coalesce(rule_text(F.col(text)), F.lit("")))
+    t = F.col(name)
+    held = held.withColumns({f"{prefix}_basis": basis_of(t), f"{prefix}_flags": flags_of(t), f"{prefix}_sources": sources_of(t), f"{prefix}_deadline": deadline(F.col(text)), f"{prefix}_present": F.length(t) > 0})
+    c = lambda x: F.col(f"{prefix}_{x}")
+    filled = c("basis").isNotNull().cast("int") + (F.size(c("sources")) > 0).cast("int") + (F.size(c("flags")) > 0).cast("int") + c("deadline").isNotNull().cast("int")
+    return held.withColumn(f"{prefix}_coverage", F.when(c("present"), filled / 4).otherwise(0.0)).drop(name)
+
+
+def profile_columns(prefix: str) -> dict[str, Column]:
+    """The columns of ``with_profile``, for ``compare`` and the like."""
+    return {x: F.col(f"{prefix}_{x}") for x in ("basis", "flags", "sources", "deadline", "present", "coverage")}
+
+
 def flag_conflict(a: Column, b: Column) -> Column:
     """The first clause that one side alone must not have, or pair of clauses that exclude each other; null if none."""
     has = F.array_contains
@@ -143,8 +176,8 @@ def rule_sensitive(domain: Column, proposition: Column, office: Column, threshol
     return (F.coalesce(domain, F.lit("")) == "politics") | (F.coalesce(proposition.isin(*threshold_kinds), F.lit(False)) & filled)
 
 
-def compare(left: Column, right: Column, sensitive: Column) -> Column:
-    """EXACT, COMPATIBLE or REVIEW for two profiles, with the reason for a review: struct(verdict, reason)."""
+def compare(left: Column | Mapping[str, Column], right: Column | Mapping[str, Column], sensitive: Column) -> Column:
+    """EXACT, COMPATIBLE or REVIEW for two profiles (structs, or their columns by name), with the reason for a review: struct(verdict, reason)."""
     a, b = left, right
     one = F.array_union(F.array_except(a["flags"], b["flags"]), F.array_except(b["flags"], a["flags"]))
     dated = F.when(a["deadline"].isNotNull(), a["flags"]).otherwise(b["flags"])
@@ -177,6 +210,6 @@ def hydration_state(apart: Column, left_text: Column, right_text: Column, verdic
     return F.when(F.size(apart) > 0, "CONTRADICTION").when(missing | (verdict == "REVIEW"), "UNRESOLVED").otherwise("SAFE")
 
 
-def needs_hydration(verdict: Column, left: Column, right: Column) -> Column:
+def needs_hydration(verdict: Column, left: Column | Mapping[str, Column], right: Column | Mapping[str, Column]) -> Column:
     """Whether more rule text could change a verdict: a review or compatible pair with a text missing or hardly covered."""
     return verdict.isin("REVIEW", "COMPATIBLE") & (~left["present"] | ~right["present"] | (F.least(left["coverage"], right["coverage"]) < 0.5))

@@ -487,19 +487,23 @@ _FAMILY_LIST = "list_sort(list_filter([" + ", ".join([
 _TEXTS = "d as (select doc_id, " + _RULE_TEXT.format("text") + " as t from documents where text is not null)"
 
 
+def _rule_texts(t: Source):
+    return t("documents").where("text is not null").select("doc_id", text.rule_text(F.col("text")).alias("t"))
+
+
 @query("f2_basis", f"with {_TEXTS} select doc_id, {_BASIS_SQL} as basis from d")
 def f2(t):
-    return t("documents").where("text is not null").select("doc_id", rules.basis(F.col("text")).alias("basis"))
+    return _rule_texts(t).select("doc_id", rules.basis_of(F.col("t")).alias("basis"))
 
 
 @query("f3_material_flags", f"with {_TEXTS} select doc_id, {_FLAG_LIST} as flags from d")
 def f3(t):
-    return t("documents").where("text is not null").select("doc_id", rules.material_flags(F.col("text")).alias("flags"))
+    return _rule_texts(t).select("doc_id", rules.flags_of(F.col("t")).alias("flags"))
 
 
 @query("f4_source_families", f"with {_TEXTS} select doc_id, {_FAMILY_LIST} as families from d")
 def f4(t):
-    return t("documents").where("text is not null").select("doc_id", rules.source_families(F.col("text")).alias("families"))
+    return _rule_texts(t).select("doc_id", rules.sources_of(F.col("t")).alias("families"))
 
 
 _DATE_SQL = "list_max(list_filter(list_transform(regexp_extract_all({0}, '(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{{1,2}}, 20[0-9]{{2}}'), lambda d: try_strptime(d, '%B %-d, %Y')::date), lambda d: d is not null))"
@@ -521,17 +525,17 @@ _CONFLICT = "coalesce(" + ", ".join(
 
 def _profiles(t: Source):
     rows = t("raw_settlement_rules").select("rule_id", "kalshi_rules_primary", "polymarket_rules").dropDuplicates(["rule_id"])
-    return rows.select("rule_id", "kalshi_rules_primary", "polymarket_rules", rules.profile(F.col("kalshi_rules_primary")).alias("a"), rules.profile(F.col("polymarket_rules")).alias("b"))
+    return rules.with_profile(rules.with_profile(rows, "kalshi_rules_primary", "a"), "polymarket_rules", "b")
 
 
 @query("f1_rule_profiles", f"with {_BOTH} select a.rule_id, a.basis, a.flags, a.sources, a.present, ({_COVERED.format('a')})::double as coverage, epoch(a.dl)::bigint + 86399 as deadline from ka a")
 def f1(t):
-    return _profiles(t).select("rule_id", *[F.col(f"a.{c}").alias(c) for c in ("basis", "flags", "sources", "present", "coverage", "deadline")])
+    return _profiles(t).select("rule_id", *[c.alias(name) for name, c in rules.profile_columns("a").items()])
 
 
 @query("f5_flag_conflicts", f"with {_BOTH} select a.rule_id, {_CONFLICT} as conflict from ka a join po b using (rule_id)")
 def f5(t):
-    return _profiles(t).select("rule_id", rules.flag_conflict(F.col("a.flags"), F.col("b.flags")).alias("conflict"))
+    return _profiles(t).select("rule_id", rules.flag_conflict(F.col("a_flags"), F.col("b_flags")).alias("conflict"))
 
 
 _REASON = f"""coalesce(case when s and not (a.present and b.present) then 'rules missing' end, case when s and least({_COVERED.format('a')}, {_COVERED.format('b')}) < 0.5 then 'coverage' end,
@@ -546,7 +550,7 @@ _REASON = f"""coalesce(case when s and not (a.present and b.present) then 'rules
     select rule_id, s as sensitive, case when reason is not null then 'REVIEW' when exact then 'EXACT' else 'COMPATIBLE' end as verdict, reason from c""")
 def f9(t):
     rows = _profiles(t).withColumn("sensitive", F.explode(F.array(F.lit(True), F.lit(False))))
-    return rows.select("rule_id", "sensitive", rules.compare(F.col("a"), F.col("b"), F.col("sensitive")).alias("x")).select("rule_id", "sensitive", "x.verdict", "x.reason")
+    return rows.select("rule_id", "sensitive", rules.compare(rules.profile_columns("a"), rules.profile_columns("b"), F.col("sensitive")).alias("x")).select("rule_id", "sensitive", "x.verdict", "x.reason")
 
 
 @query("f7_rule_sensitive", """
@@ -576,9 +580,10 @@ def f11(t):
     with {_BOTH}, c as (select a.rule_id, a.present and b.present as both_texts, {_REASON.replace("case when s and", "case when true and")} as reason, {_COVERED.format('a')} as ca, {_COVERED.format('b')} as cb, a.basis is not distinct from b.basis and a.flags = b.flags and a.sources = b.sources and a.present and b.present as exact from ka a join po b using (rule_id))
     select rule_id, case when not both_texts or reason is not null then 'UNRESOLVED' else 'SAFE' end as state, (reason is not null or not exact) and (not both_texts or least(ca, cb) < 0.5) as needed from c""")
 def f12(t):
-    rows = _profiles(t).withColumn("v", rules.compare(F.col("a"), F.col("b"), F.lit(True))["verdict"])
+    a, b = rules.profile_columns("a"), rules.profile_columns("b")
+    rows = _profiles(t).withColumn("v", rules.compare(a, b, F.lit(True))["verdict"])
     state = rules.hydration_state(F.array().cast("array<string>"), F.col("kalshi_rules_primary"), F.col("polymarket_rules"), F.col("v"))
-    return rows.select("rule_id", state.alias("state"), rules.needs_hydration(F.col("v"), F.col("a"), F.col("b")).alias("needed"))
+    return rows.select("rule_id", state.alias("state"), rules.needs_hydration(F.col("v"), a, b).alias("needed"))
 
 
 @query("f13_late_states", f"""
