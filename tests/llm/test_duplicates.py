@@ -49,6 +49,26 @@ def test_clusters_against_brute_force(spark):
     assert len(got.items() & want.items()) >= 0.99 * len(want) and set(got) <= set(want)
 
 
+def shifted(words, kept, tag):
+    """A text that shares exactly ``kept`` of the 96 shingles of 100 words with the base, from its end."""
+    return [f"{tag}{k}" for k in range(96 - kept)] + words[96 - kept :]
+
+
+def test_no_link_is_left_out(spark):
+    # Ten texts are like the first one, and each is met by others that are like it alone, at and just over the limit of 0.8.
+    base = [f"w{k}" for k in range(100)]
+    texts = {0: base}
+    for g in range(10):
+        texts[100 + g] = shifted(base, 88, f"a{g}x")  # 88 / 104
+        texts[200 + g] = [*texts[100 + g][:90], *(f"b{g}x{k}" for k in range(10))]  # 86 of 106 with it, fewer with the first
+        lone = [f"c{g}x{k}" for k in range(22)]
+        texts[300 + g], texts[400 + g] = lone, [*lone[:-2], f"d{g}", f"e{g}"]  # 16 of 20
+        texts[500 + g], texts[600 + g] = lone[:12] + [f"f{g}x{k}" for k in range(14)], [f"f{g}x{k}" for k in range(14)] + [f"h{g}"]
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    got = {r.form_id: r.cluster for r in duplicates.clusters(spark.createDataFrame(list(texts.items()), "form_id bigint, form string").repartition(3)).collect()}
+    assert got == brute_force(texts)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(101, 100)], "form_id bigint, rep bigint")
     assert {(r.form_id, r.cluster) for r in duplicates.components(links).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
