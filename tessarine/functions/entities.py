@@ -132,13 +132,27 @@ def sources_compatible(a: Column, b: Column) -> Column:
 
 def identity_similarity(a: Column, b: Column) -> Column:
     """The blend of words and sequence, or with character trigrams and containment where that is more."""
-    x, y = signature_text(a), signature_text(b)
     words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 1)
-    base = 0.7 * similarity.jaccard(words(x), words(y)) + 0.3 * similarity.sequence_ratio(x, y)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 2), lambda i: F.substring(F.concat(F.lit("  "), c, F.lit("  ")), i, F.lit(3))))
-    inside = (F.least(F.length(x), F.length(y)) >= 10) & (x.contains(y) | y.contains(x))
-    rich = F.least(F.lit(1.0), 0.62 * base + 0.28 * similarity.jaccard(grams(x), grams(y)) + F.when(inside, 0.1).otherwise(0.0))
-    return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).otherwise(F.greatest(base, rich))
+    grams = lambda c: F.array_distinct(F.regexp_extract_all(F.concat(F.lit("  "), c, F.lit("  ")), F.lit("(?=(.{3}))"), 1))
+    given = F.struct(signature_text(a).alias("x"), signature_text(b).alias("y"))
+    ratio = similarity.sequence_ratio(given["x"], given["y"])
+
+    def parts(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        inside = (F.least(F.length(x), F.length(y)) >= 10) & (x.contains(y) | y.contains(x))
+        return F.struct(
+            ((x == "") | (y == "") | x.isNull() | y.isNull()).alias("none"), s["ratio"].alias("ratio"),
+            similarity.jaccard(words(x), words(y)).alias("words"), similarity.jaccard(grams(x), grams(y)).alias("grams"), F.when(inside, 0.1).otherwise(0.0).alias("inside"),
+        )
+
+    def blend(s: Column) -> Column:
+        base = 0.7 * s["words"] + 0.3 * s["ratio"]
+        rich = F.least(F.lit(1.0), 0.62 * base + 0.28 * s["grams"] + s["inside"])
+        return F.when(s["none"], 0.0).otherwise(F.greatest(base, rich))
+
+    # Arrays of one hold what is used more than once: as a plain expression it would be worked out at each use.
+    held = F.transform(F.array(F.struct(given["x"].alias("x"), given["y"].alias("y"), ratio.alias("ratio"))), parts)
+    return F.element_at(F.transform(held, blend), 1)
 
 
 def context_key(title: Column, subject: Column) -> Column:

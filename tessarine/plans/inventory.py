@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessarine.functions import entities, parsing, similarity, text
 from tessarine.operators import books, contracts, ledger, linkage, rules, scoring, timestamps
 from tessarine.plans.relational import Source, query
+from tessarine.session import slots
 from tessarine.sources import feeds, readers
 
 # Sources: predicates, merges and lookups
@@ -227,7 +228,9 @@ def e5_scores(t):
 
 
 def _title_pairs(t: Source):
-    return t("match_audit").where("kalshi_title is not null and polymarket_question is not null").select("audit_id", "kalshi_title", "polymarket_question").distinct()
+    """Each pair of titles once, over all slots: comparing them is heavier than their shuffle, which would be drawn together by its size."""
+    rows = t("match_audit").where("kalshi_title is not null and polymarket_question is not null").select("audit_id", "kalshi_title", "polymarket_question")
+    return rows.repartition(4 * slots(rows.sparkSession), "audit_id").distinct()
 
 
 @query("e3_identity_similarity")

@@ -83,3 +83,12 @@ def test_full_signature(spark):
     assert (a.domain, a.proposition, a.subject, a.competition, a.season, a.flags, a.source_families, a.gender) == ("sports", "winner", "Alba Noor", "fifa_world_cup", "2027-2028", ["overtime_included"], ["credible_reporting"], "women")
     assert (b.office, b.country, b.region, b.district, b.metric, b.threshold_op, b.threshold_low, b.family) == ("us_house", "US", "US-TX", "US-TX-07", "seats", "gt", 50.0, "numeric:seats:above_threshold")
     assert got[3].domain == "other" and got[3].proposition is None and got[3].coverage == 0.0
+
+
+def test_texts_are_brought_into_their_form_once(spark):
+    rows = [("Will Ann Lee win in 2026?", "Ann Lee to win 2026"), ("Zoë & co", "zoe co"), ("", "x"), (None, "x"), ("ab", "ab")]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.round(entities.identity_similarity(F.col("a"), F.col("b")), 6).alias("s"))
+    # Once for the Python side and once for what is left: the form stands in no lambda.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 12
+    got = [r.s for r in df.collect()]
+    assert got[2:] == [0.0, 0.0, 1.0] and 0.5 < got[0] < 1.0 and got[1] == 1.0
