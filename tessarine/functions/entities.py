@@ -66,10 +66,18 @@ def equivalent(a: Column, b: Column) -> Column:
 
 def entity_verdict(a: Column, b: Column) -> Column:
     """Three-valued: null where a name is empty, true where one name's words hold the other's or all but spell them, else false."""
-    x, y = canonical_entity(a), canonical_entity(b)
+    return canonical_verdict(canonical_entity(a), canonical_entity(b))
+
+
+def canonical_verdict(x: Column, y: Column) -> Column:
+    """``entity_verdict`` of two canonical names."""
     p, q = F.split(x, " "), F.split(y, " ")
     subset = (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
-    return F.when((x != "") & (y != ""), subset | (similarity.sequence_ratio(x, y) >= 0.88))
+    # Texts whose lengths alone keep them apart are not compared: the ratio is at most twice the shorter over both.
+    long = 2.0 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y)) >= 0.88
+    near = lambda c: F.when((x != "") & (y != "") & long & (x != y), c)
+    alike = (x == y) | F.coalesce(similarity.sequence_ratio(near(x), near(y)) >= 0.88, F.lit(False))
+    return F.when((x != "") & (y != ""), subset | alike)
 
 
 def anchor_overlap(a: Column, b: Column) -> Column:
@@ -77,16 +85,34 @@ def anchor_overlap(a: Column, b: Column) -> Column:
     return similarity.containment(a, b)
 
 
+def person_words(name: Column) -> Column:
+    """Distinct words of a name without generation suffixes, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(plain_words(name), " "), lambda w: (w != "") & ~w.isin(SUFFIXES))))
+
+
+def first_year(text: Column) -> Column:
+    """The first year that a text states; '' if there is none."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(20[0-9]{2})\b", 1)
+
+
 def same_person(a: Column, b: Column) -> Column:
     """Whether two names have the same words but for a generation suffix; false for empty ones."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(plain_words(c), " "), lambda w: (w != "") & ~w.isin(SUFFIXES))))
-    return (F.size(words(a)) > 0) & (words(a) == words(b))
+    return same_words(person_words(a), person_words(b))
+
+
+def same_words(x: Column, y: Column) -> Column:
+    """Whether two sorted sets of words are equal and not empty."""
+    return (F.size(x) > 0) & (x == y)
 
 
 def same_year(a: Column, b: Column) -> Column:
     """False only where both texts state a year and the first ones differ."""
-    year = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"\b(20[0-9]{2})\b", 1)
-    return (year(a) == "") | (year(b) == "") | (year(a) == year(b))
+    return years_agree(first_year(a), first_year(b))
+
+
+def years_agree(x: Column, y: Column) -> Column:
+    """``same_year`` of two years, '' for none."""
+    return (x == "") | (y == "") | (x == y)
 
 
 def subject_compatible(a: Column, b: Column) -> Column:

@@ -797,9 +797,19 @@ def h6(t):
 
 @query("e6_entity_verdicts")
 def e6(t):
-    side = lambda name, i, c: t(name).where("season_year is not null and metric is not null").select(F.col("sig_id").alias(i), "season_year", "metric", F.col("subject").alias(c))
-    pairs = side("kalshi_signature", "left_id", "x").join(side("poly_signature", "right_id", "z"), ["season_year", "metric"]).where("x is null or z is null or left(lower(x), 2) = left(lower(z), 2)")
-    return pairs.select("left_id", "right_id", entities.entity_verdict(F.col("x"), F.col("z")).alias("same"))
+    # Names are brought into their form once a record, before the pairs. Only the pairs that have both names meet for their verdict, each pair of names once.
+    keys = ["season_year", "metric"]
+    side = lambda name, i, c: t(name).where("season_year is not null and metric is not null").select(F.col("sig_id").alias(i), *keys, F.substring(F.lower("subject"), 1, 2).alias("start"), F.col("subject").isNull().alias(f"{i}_none"), entities.canonical_entity(F.col("subject")).alias(c))
+    left, right = side("kalshi_signature", "left_id", "x"), side("poly_signature", "right_id", "z")
+    both = left.where("not left_id_none").join(right.where("not right_id_none"), [*keys, "start"]).select("left_id", "right_id", "x", "z")
+    names = both.select("x", "z").distinct().repartition(4 * slots(both.sparkSession), "x", "z")
+    told = names.select("x", "z", entities.canonical_verdict(F.col("x"), F.col("z")).alias("same"))
+    told = both.join(told, ["x", "z"]).select("left_id", "right_id", "same")
+    ids = lambda d: d.select("left_id", "right_id", F.lit(None).cast("boolean").alias("same"))
+    # A missing name has no verdict with any other.
+    lone = ids(left.where("left_id_none").drop("start").join(right.drop("start"), keys))
+    rest = ids(left.where("not left_id_none").drop("start").join(right.where("right_id_none").drop("start"), keys))
+    return told.unionByName(lone).unionByName(rest)
 
 
 @query("q1_reason_maps", """

@@ -59,3 +59,22 @@ def test_plans_read_only_what_they_need(spark, tmp_path, name):
 
 def test_session_is_reused():
     assert local_session() is local_session()
+
+
+@pytest.mark.parametrize(("name", "want"), [
+    ("e6_entity_verdicts", {(1, 10, True), (1, 12, None), (2, 10, None), (2, 11, None), (2, 12, None), (3, 11, False), (3, 12, None)}),
+    ("e9_anchors", {(1, 10, 1.0, True, True), (3, 11, 0.5, False, False)}),
+])
+def test_names_are_brought_into_their_form_before_they_meet(spark, tmp_path, name, want):
+    schema = "sig_id bigint, {} string, subject string, metric string, season_year string"
+    rest = ("goals", "2026")
+    save(spark, tmp_path, "kalshi_signature", [(1, "x", "Ann Lee", *rest), (2, "x", None, *rest), (3, "in 2026", "Bob Ray", *rest), (4, "x", "Ann Lee", None, "2026")], schema.format("kalshi_title"))
+    save(spark, tmp_path, "poly_signature", [(10, "x", "Lee Ann Jr", *rest), (11, "in 2027", "Bob Kim", *rest), (12, "x", None, *rest)], schema.format("polymarket_question"))
+    if name == "e6_entity_verdicts":  # only names that begin alike meet
+        save(spark, tmp_path / "alike", "kalshi_signature", [(1, "x", "Ann Lee", *rest), (2, "x", None, *rest), (3, "in 2026", "Bob Ray", *rest)], schema.format("kalshi_title"))
+        save(spark, tmp_path / "alike", "poly_signature", [(10, "x", "Ann Lee Jr", *rest), (11, "x", "Bob Kim", *rest), (12, "x", None, *rest)], schema.format("polymarket_question"))
+        tmp_path = tmp_path / "alike"
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+    assert "translate(" not in above
+    assert {tuple(r) for r in found.collect()} == want
