@@ -260,13 +260,19 @@ def e2(t):
         regexp_extract(tx, '\b(20\d\d)\b', 1) = '' or regexp_extract(ty, '\b(20\d\d)\b', 1) = '' or regexp_extract(tx, '\b(20\d\d)\b', 1) = regexp_extract(ty, '\b(20\d\d)\b', 1) as same_year
     from w where len(list_intersect(wx, wy)) > 0""")
 def e9(t):
-    side = lambda name, i, s, q, title: t(name).select(F.col("sig_id").alias(i), F.col("subject").alias(s), F.col(title).alias(q), "metric", "season_year")
-    pairs = side("kalshi_signature", "l", "x", "tx", "kalshi_title").join(side("poly_signature", "r", "y", "ty", "polymarket_question"), ["metric", "season_year"]).where(F.concat("x", "y").rlike("^[A-Za-z ]*$"))
-    words = lambda c: F.split(text.spaced_words(F.col(c)), " ")
-    overlap = F.round(entities.anchor_overlap(words("x"), words("y")), 6)
-    # The cheap test first: names that share no word never reach the others.
-    met = pairs.where(F.arrays_overlap(words("x"), words("y")))
-    return met.select("l", "r", overlap.alias("overlap"), entities.same_person(F.col("x"), F.col("y")).alias("same_person"), entities.same_year(F.col("tx"), F.col("ty")).alias("same_year"))
+    # What is said of a name is worked out once a record. Pairs meet at the words they share and count at the first of them.
+    keys = ["metric", "season_year"]
+
+    def side(name, s, title):
+        rows = t(name).where(F.col("subject").rlike(r"^[A-Za-z ]*\z") & F.col("metric").isNotNull() & F.col("season_year").isNotNull())
+        words = F.array_distinct(F.split(text.spaced_words(F.col("subject")), " "))
+        held = rows.select(*keys, F.col("sig_id").alias(s), words.alias(f"{s}w"), entities.person_words(F.col("subject")).alias(f"{s}p"), entities.first_year(F.col(title)).alias(f"{s}y"))
+        return held.withColumn("word", F.explode(f"{s}w"))
+
+    met = side("kalshi_signature", "l", "kalshi_title").join(side("poly_signature", "r", "polymarket_question"), [*keys, "word"])
+    met = met.where(F.get(F.array_intersect("lw", "rw"), F.lit(0)) == F.col("word"))
+    overlap = F.round(entities.anchor_overlap(F.col("lw"), F.col("rw")), 6)
+    return met.select("l", "r", overlap.alias("overlap"), entities.same_words(F.col("lp"), F.col("rp")).alias("same_person"), entities.years_agree(F.col("ly"), F.col("ry")).alias("same_year"))
 
 
 _SUBJECT_PAIRS = "select a.sig_id as l, b.sig_id as r, a, b from kalshi_signature a join poly_signature b on lower(a.subject) = lower(b.subject)"
