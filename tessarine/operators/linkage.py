@@ -35,10 +35,11 @@ def vote_candidates(left: DataFrame, right: DataFrame, lid: str, rid: str, token
     counts = exploded[0].select("tok", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(exploded[1].select("tok", F.lit(0).alias("a"), F.lit(1).alias("b")))
     df = counts.groupBy("tok").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     df = df.where((F.col("a") <= max(least, share * n_left)) & (F.col("b") <= max(least, share * n_right))).select("tok", F.log(1 + F.lit(float(n_left + n_right)) / (F.col("a") + F.col("b"))).alias("w"))
-    voting = [d.join(df, "tok") for d in exploded]
-    votes = voting[0].join(voting[1].drop("w"), "tok").select(lid, rid, "w")
-    mute = [d.where(F.size("__set") > 0).join(v.select(i).distinct(), i, "left_anti").select(i, F.array_join("__set", " ").alias("__all")) for d, v, i in zip(sides, voting, (lid, rid))]
-    alike = mute[0].join(mute[1], "__all").select(lid, rid, F.lit(math.log(1 + (n_left + n_right) / 2)).alias("w"))
+    # Words and ids grow with the tables: they are merged, never gathered on the driver for a broadcast.
+    voting = [d.join(df.hint("merge"), "tok") for d in exploded]
+    votes = voting[0].join(voting[1].drop("w").hint("merge"), "tok").select(lid, rid, "w")
+    mute = [d.where(F.size("__set") > 0).join(v.select(i).distinct().hint("merge"), i, "left_anti").select(i, F.array_join("__set", " ").alias("__all")) for d, v, i in zip(sides, voting, (lid, rid))]
+    alike = mute[0].join(mute[1].hint("merge"), "__all").select(lid, rid, F.lit(math.log(1 + (n_left + n_right) / 2)).alias("w"))
     return votes.unionByName(alike).groupBy(lid, rid).agg(F.count("*").alias("votes"), F.sum("w").alias("weight"))
 
 

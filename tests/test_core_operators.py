@@ -154,3 +154,11 @@ def test_analytics(spark):
 
 def test_dates_are_utc(spark):
     assert spark.sql("select timestamp '2026-01-01 00:00:00' as t").first().t == dt.datetime(2026, 1, 1)
+
+
+def test_votes_gather_nothing_on_the_driver(spark):
+    left = spark.sql("select * from values (1L, array('ann', 'wins')), (2L, array('bob')) as v(l, t)")
+    right = spark.sql("select * from values (7L, array('ann', 'lee')), (8L, array('bob')) as v(r, t)")
+    found = linkage.vote_candidates(left, right, "l", "r", "t")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(x.l, x.r, x.votes) for x in found.collect()} == {(1, 7, 1), (2, 8, 1)}
