@@ -31,6 +31,8 @@ SAMPLE_BYTES = 256_000_000
 BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 1_000, 0.9995
 #: Vectors and queries that are compared at once, and that meet in one task; least copies of a vector to a part of a salted join.
 BLOCK_ROWS, GROUP_ROWS, SALT_ROWS = 2_048, 65_536, 100_000
+#: Queries whose distances from all nodes are held at once.
+VISIT_ROWS = 128
 #: Decimals to which cosines count as equal.
 DECIMALS = 9
 
@@ -78,8 +80,53 @@ class Tree:
                 heapq.heappush(heap, (d, child))
         return found
 
+    def visits(self, x: np.ndarray, count: int) -> list[np.ndarray]:
+        """The leaves of ``visit`` for every row, in no order.
+
+        A leaf is taken from the queue when all nodes on its way are, so leaves come in the order of the largest
+        distance on their way; those behind one node come in the same order of the way below it.
+        """
+        if count >= self.leaves:
+            return [np.arange(self.leaves)] * len(x)
+        out, ways = [], self._ways
+        for at in range(0, len(x), VISIT_ROWS):
+            part = x[at : at + VISIT_ROWS]
+            far = self._norms - 2.0 * (part @ self.centroids.T)
+            top = far[:, ways[0]]
+            for step in ways[1:]:
+                np.maximum(top, far[:, step], out=top)
+            last = np.partition(top, count - 1, axis=1)[:, count - 1]
+            for one, way, end in zip(far, top, last):
+                sure = np.flatnonzero(way < end)
+                out.append(np.concatenate([sure, self._first(one, np.flatnonzero(way == end), 0, count - len(sure))]))
+        return out
+
+    def _first(self, far: np.ndarray, leaves: np.ndarray, step: int, count: int) -> np.ndarray:
+        """The first ``count`` of leaves that wait for the same largest distance from ``step`` of their ways on."""
+        while len(leaves) > count:
+            rest = far[self._ways[step:, leaves]]
+            step += int(rest[:, 0].argmax()) + 1  # behind the node that they wait for
+            if step >= len(self._ways):
+                return leaves[:count]
+            way = far[self._ways[step:, leaves]].max(axis=0)
+            end = np.partition(way, count - 1)[count - 1]
+            sure, same = leaves[way < end], leaves[way == end]
+            return np.concatenate([sure, self._first(far, same, step, count - len(sure))])
+        return leaves
+
     def __post_init__(self):
         self._norms = (self.centroids**2).sum(axis=1)
+        way: dict[int, list[int]] = {}
+        waiting = [(0, [])]
+        while waiting:
+            node, above = waiting.pop()
+            own = [*above, node] if node else above
+            if self.leaf[node] >= 0:
+                way[int(self.leaf[node])] = own or [node]
+            waiting += [(child, own) for child in self.children[node]]
+        deep = max(map(len, way.values()))
+        # One row a level, one column a leaf: the nodes on the way to it, the last one repeated.
+        self._ways = np.array([way[k] + way[k][-1:] * (deep - len(way[k])) for k in sorted(way)]).T
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -254,9 +301,9 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, where, found = [], [], []
-            for k_row, q in enumerate(unit_rows(b.column(1).to_pylist(), dim) if b.num_rows else ()):
+            for k_row, seen in enumerate(tree.visits(unit_rows(b.column(1).to_pylist(), dim), visits) if b.num_rows else ()):
                 own: dict[int, list[int]] = {}
-                for leaf in tree.visit(q, visits):
+                for leaf in seen.tolist():
                     own.setdefault(of_group(leaf), []).append(leaf)
                 rows += [k_row] * len(own)
                 where += own

@@ -57,3 +57,17 @@ def test_empty_tables(spark):
     assert vectors.nearest(df.where("vec_id = 20001"), "vec_id", "embedding").count() == 0
     one = spark.createDataFrame([(1, "t", [1.0, 0.0], "x")], SCHEMA)
     assert vectors.nearest(one, "vec_id", "embedding").count() == 0
+
+
+def test_leaves_of_many_queries_at_once_are_those_of_the_queue(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 12)), 40, axis=0) + rng.normal(scale=0.4, size=(2_400, 12))
+    tree = vectors.fit_tree(x, 6)
+    for count in (1, 2, 7, 33, tree.leaves - 1, tree.leaves, tree.leaves + 5):
+        want = [sorted(tree.visit(q, count)) for q in x[:300]]
+        assert [sorted(found.tolist()) for found in tree.visits(x[:300], count)] == want
+    one = vectors.fit_tree(x[:3], 6)
+    assert [found.tolist() for found in one.visits(x[:2], 1)] == [[0], [0]]
+    # Queries of the search are answered at once, not one by one.
+    monkeypatch.setattr(vectors.Tree, "visit", None)
+    assert len(tree.visits(x, 5)) == len(x)
