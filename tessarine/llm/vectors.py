@@ -67,13 +67,16 @@ class Tree:
                 own = np.array(self.children[n])
                 node[rows] = own[_nearest(x[rows], self.centroids[own])]
 
-    def visit(self, q: np.ndarray, count: int) -> list[int]:
-        """The first ``count`` leaves in best-bin-first order."""
+    def visit(self, q: np.ndarray, count: int, until: set[int] | None = None) -> list[int]:
+        """The first ``count`` leaves in best-bin-first order; with ``until`` no more than it takes to meet all of these."""
         heap, found, norms = [(0.0, 0)], [], self._norms
-        while heap and len(found) < count:
+        missing = None if until is None else set(until)
+        while heap and len(found) < count and (missing is None or missing):
             _, n = heapq.heappop(heap)
             if self.leaf[n] >= 0:
                 found.append(int(self.leaf[n]))
+                if missing is not None:
+                    missing.discard(found[-1])
                 continue
             own = self.children[n]
             for d, child in zip((norms[own] - 2.0 * (self.centroids[own] @ q)).tolist(), own):
@@ -246,7 +249,10 @@ def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s), pa.array([leaf[x] for x in c.tolist()], pa.int32())], ["q", "n", "cos", "leaf"])
 
     truth = _best(filed.mapInArrow(exact, "q bigint, n bigint, cos double, leaf int"), k).select("q", "leaf").collect()
-    orders = {int(i): {leaf: r for r, leaf in enumerate(tree.visit(v, tree.leaves), 1)} for i, v in zip(qid, q)}
+    wanted: dict[int, set[int]] = {}
+    for r in truth:
+        wanted.setdefault(r.q, set()).add(r.leaf)
+    orders = {int(i): {leaf: r for r, leaf in enumerate(tree.visit(v, tree.leaves, wanted[int(i)]), 1)} for i, v in zip(qid, q) if int(i) in wanted}
     ranks = sorted(orders[r.q][r.leaf] for r in truth)
     if not ranks:  # no sampled query has a neighbour that near; what finds the nearest ones finds those as well
         return calibrate(filed, tree, k, -1.0, rows, n, recall) if least > -1.0 else 1

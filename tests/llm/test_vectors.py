@@ -71,3 +71,13 @@ def test_leaves_of_many_queries_at_once_are_those_of_the_queue(monkeypatch):
     # Queries of the search are answered at once, not one by one.
     monkeypatch.setattr(vectors.Tree, "visit", None)
     assert len(tree.visits(x, 5)) == len(x)
+
+
+def test_the_calibration_walks_no_further_than_to_the_leaves_it_ranks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8))
+    tree = vectors.fit_tree(x, 6)
+    for q in x[:40]:
+        whole = tree.visit(q, tree.leaves)
+        assert tree.visit(q, tree.leaves, {whole[3], whole[9]}) == whole[:10]
+        assert tree.visit(q, tree.leaves, set()) == []
