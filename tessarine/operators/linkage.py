@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessarine.functions import entities
 from tessarine.functions.similarity import cosine
+from tessarine.session import slots
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,6 +23,49 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def same_entities(left: DataFrame, right: DataFrame, keys: Sequence[str], x: str, z: str) -> DataFrame:
+    """(keys, x, z): all pairs of canonical names with equal keys that ``canonical_verdict`` takes for one entity, each once.
+
+    Candidates leave no such pair out. If the words of one name hold those of the other, they hold its rarest word.
+    If the ratio of two names is 0.88, at least 0.44 of the letters T of both stand in one order in both; every
+    other letter breaks three of the padded trigrams of its own name and two of those of the other, so they share 0.2 T + 2.
+    In the order of rarity, then, they share one of the trigrams that are left when the last ones of either are taken away.
+    """
+    keys = list(keys)
+    sides = [d.select(*keys, F.col(c).alias("n")).where("n != ''").distinct() for d, c in ((left, x), (right, z))]
+
+    def ranked(parts: Column) -> list[DataFrame]:
+        """Names of both sides with their parts, rarest first; a part is counted among the names of its keys."""
+        own = [d.withColumn("p", F.explode(parts)) for d in sides]
+        counts = own[0].unionByName(own[1]).groupBy(*keys, "p").agg(F.count("*").alias("c"))
+        term = F.array_sort(F.collect_list(F.struct("c", "p")))
+        return [d.join(counts, [*keys, "p"]).groupBy(*keys, "n").agg(F.transform(term, lambda t: t["p"]).alias("p")) for d in own]
+
+    def met(a: DataFrame, a_parts: Column, b: DataFrame, b_parts: Column, kept: Column) -> DataFrame:
+        a = a.select(*keys, F.col("n").alias("x"), F.col("p").alias("ps"), F.explode(a_parts).alias("p"))
+        b = b.select(*keys, F.col("n").alias("z"), F.col("p").alias("qs"), F.explode(b_parts).alias("p"))
+        return a.join(b, [*keys, "p"]).where(kept).select(*keys, "x", "z")
+
+    def head(least: Column) -> Column:
+        return F.slice("p", 1, F.size("p") - F.ceil(least - 1e-9).cast("int") + 1)
+
+    a, b = ranked(F.array_distinct(F.split("n", " ")))
+    first = F.slice("p", 1, 1)
+    pairs = met(a, first, b, F.col("p"), F.size(F.array_except("ps", "qs")) == 0)
+    pairs = pairs.unionByName(met(a, F.col("p"), b, first, F.size(F.array_except("qs", "ps")) == 0))
+    padded = F.concat(F.lit("  "), F.col("n"), F.lit("  "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("n") + 2), lambda k: F.substring(padded, k, F.lit(3)))
+    # A trigram that comes again is another part.
+    grams = F.transform(grams, lambda g, k: F.concat(g, F.size(F.filter(F.slice(grams, 1, k), lambda h: h == g)).cast("string")))
+    a, b = ranked(grams)
+    # The other name has 11/14 of the letters of this one or more.
+    least = head(0.2 * (F.length("n") + F.ceil(F.length("n") * 11 / 14 - 1e-9)) + 2)
+    total = F.length("x") + F.length("z")
+    near = (2.0 * F.least(F.length("x"), F.length("z")) / total >= 0.88) & (F.size(F.array_intersect("ps", "qs")) >= 0.2 * total + 2 - 1e-9)
+    pairs = pairs.unionByName(met(a, least, b, least, near)).distinct().repartition(4 * slots(left.sparkSession), "x", "z")
+    return pairs.where(entities.canonical_verdict(F.col("x"), F.col("z"))).select(*keys, F.col("x").alias(x), F.col("z").alias(z))
+
+
 def vote_candidates(left: DataFrame, right: DataFrame, lid: str, rid: str, tokens: str, share: float = 0.08, least: int = 80) -> DataFrame:
     """(lid, rid, votes, weight): pairs that share words which are not too common to vote.
 

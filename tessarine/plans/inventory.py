@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessarine.functions import entities, parsing, similarity, text
 from tessarine.operators import books, contracts, ledger, linkage, rules, scoring, timestamps
 from tessarine.plans.relational import Source, query
-from tessarine.session import slots
+from tessarine.session import materialise, slots
 from tessarine.sources import feeds, readers
 
 # Sources: predicates, merges and lookups
@@ -803,19 +803,20 @@ def h6(t):
 
 @query("e6_entity_verdicts")
 def e6(t):
-    # Names are brought into their form once a record, before the pairs. Only the pairs that have both names meet for their verdict, each pair of names once.
+    # Names are brought into their form once a record. Every pair that is one entity is given, however its names begin; a pair that is not where they begin alike.
     keys = ["season_year", "metric"]
-    side = lambda name, i, c: t(name).where("season_year is not null and metric is not null").select(F.col("sig_id").alias(i), *keys, F.substring(F.lower("subject"), 1, 2).alias("start"), F.col("subject").isNull().alias(f"{i}_none"), entities.canonical_entity(F.col("subject")).alias(c))
+    side = lambda name, i, c: materialise(t(name).where("season_year is not null and metric is not null").select(F.col("sig_id").alias(i), *keys, F.substring(F.lower("subject"), 1, 2).alias(f"{i}_start"), F.col("subject").isNull().alias(f"{i}_none"), entities.canonical_entity(F.col("subject")).alias(c)))
     left, right = side("kalshi_signature", "left_id", "x"), side("poly_signature", "right_id", "z")
-    both = left.where("not left_id_none").join(right.where("not right_id_none"), [*keys, "start"]).select("left_id", "right_id", "x", "z")
-    names = both.select("x", "z").distinct().repartition(4 * slots(both.sparkSession), "x", "z")
-    told = names.select("x", "z", entities.canonical_verdict(F.col("x"), F.col("z")).alias("same"))
-    told = both.join(told, ["x", "z"]).select("left_id", "right_id", "same")
+    named, others = left.where("not left_id_none"), right.where("not right_id_none")
+    same = materialise(linkage.same_entities(named, others, keys, "x", "z")).withColumn("same", F.lit(True))
+    alike = named.withColumn("start", F.col("left_id_start")).join(others.withColumn("start", F.col("right_id_start")), [*keys, "start"])
+    told = alike.join(same, [*keys, "x", "z"], "left").select("left_id", "right_id", F.when((F.col("x") != "") & (F.col("z") != ""), F.coalesce("same", F.lit(False))).alias("same"))
+    unlike = named.join(same, [*keys, "x"]).join(others, [*keys, "z"]).where("left_id_start != right_id_start").select("left_id", "right_id", "same")
     ids = lambda d: d.select("left_id", "right_id", F.lit(None).cast("boolean").alias("same"))
     # A missing name has no verdict with any other.
-    lone = ids(left.where("left_id_none").drop("start").join(right.drop("start"), keys))
-    rest = ids(left.where("not left_id_none").drop("start").join(right.where("right_id_none").drop("start"), keys))
-    return told.unionByName(lone).unionByName(rest)
+    lone = ids(left.where("left_id_none").join(right, keys))
+    rest = ids(named.join(right.where("right_id_none"), keys))
+    return told.unionByName(unlike).unionByName(lone).unionByName(rest)
 
 
 @query("q1_reason_maps", """

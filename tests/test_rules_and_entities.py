@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessarine.functions import entities, parsing, text
-from tessarine.operators import contracts, rules, scoring
+from tessarine.operators import contracts, linkage, rules, scoring
+from tessarine.plans import catalog
 
 
 @pytest.mark.parametrize(("said", "flags"), [
@@ -92,3 +95,31 @@ def test_texts_are_brought_into_their_form_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 12
     got = [r.s for r in df.collect()]
     assert got[2:] == [0.0, 0.0, 1.0] and 0.5 < got[0] < 1.0 and got[1] == 1.0
+
+
+def test_names_that_are_one_entity_meet_however_they_begin(spark, tmp_path):
+    rest = ("goals", "2026")
+    left = [(1, "The Ann Lee", *rest), (2, "Kathryn Holtmann", *rest), (3, "Lee", *rest), (4, "Milo Vant", *rest)]
+    right = [(10, "Ann Lee", *rest), (11, "Cathryn Holtmann", *rest), (12, "Ann Lee", "goals", "2027")]
+    for name, rows in (("kalshi_signature", left), ("poly_signature", right)):
+        spark.createDataFrame(rows, "sig_id bigint, subject string, metric string, season_year string").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["e6_entity_verdicts"](spark, str(tmp_path)).collect()} == {(1, 10, True), (2, 11, True), (3, 10, True)}
+
+
+def test_same_entities_are_those_of_every_pair(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abe") for _ in range(rng.randint(1, 9)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)]
+
+    def slip(name):
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(name))
+            name = name[:k] + rng.choice(["", "x", name[k] + "y"]) + name[k + 1 :] or "z"
+        return " ".join(name.split())
+
+    left = [(k % 3, n) for k, n in enumerate(names)] + [(0, ""), (1, names[1])]
+    right = [(k % 3, slip(n)) for k, n in enumerate(names * 3)] + [(k % 3, n.split(" ")[-1]) for k, n in enumerate(names)] + [(0, "")]
+    a, b = spark.createDataFrame(left, "k int, x string"), spark.createDataFrame(right, "k int, z string")
+    got = [tuple(r) for r in linkage.same_entities(a, b, ["k"], "x", "z").collect()]
+    want = {tuple(r) for r in a.join(b, "k").where(entities.canonical_verdict(F.col("x"), F.col("z"))).select("k", "x", "z").collect()}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
