@@ -1,9 +1,9 @@
 """The most similar vectors of every vector, by best-bin-first search of a k-means tree.
 
 A hierarchical k-means tree is fitted on a bounded sample, and every vector is filed under its leaf. A
-query walks the tree with a priority queue, nearest centroid first, and visits a number of leaves that
-is widened, against exact neighbours of a sample of queries, until the wanted recall is reached. Neighbouring
-leaves form groups; a query is sent once to each group that holds leaves it visits, and meets the vectors of
+query walks down the tree and visits the leaves whose borders are near enough: how near is widened, against
+exact neighbours of a sample of queries, until the wanted recall is reached. So a query deep inside a leaf visits few,
+and one near many borders visits many. Neighbouring leaves form groups; a query is sent once to each group that holds leaves it visits, and meets the vectors of
 these leaves there. Crowded groups are cut into blocks of bounded size, so they are spread over many tasks;
 exact copies are searched once and put back afterwards. Similarities are exact cosines.
 """
@@ -28,11 +28,17 @@ LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_ROWS = 400, 24, 400_000
 #: Bytes of the sample at most, in double precision.
 SAMPLE_BYTES = 256_000_000
 #: Children of a node, rounds of k-means, queries of the calibration, and the recall it must reach.
-BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 1_000, 0.9995
+BRANCH, KMEANS_ROUNDS, CALIBRATION_ROWS, RECALL = 16, 12, 4_000, 0.9995
 #: Vectors and queries that are compared at once, and that meet in one task; least copies of a vector to a part of a salted join.
 BLOCK_ROWS, GROUP_ROWS, SALT_ROWS = 2_048, 65_536, 100_000
+#: Near pairs for each wanted neighbour up to which the pairs of a block are listed one by one.
+DENSE = 8
+#: Part by which the nearness of borders is widened beyond what the sample asks for, as the sample does not know its own error.
+WIDER = 1.25
 #: Queries whose distances from all nodes are held at once.
 VISIT_ROWS = 128
+#: Queries that walk down the tree at once, and that walk for the counts of the groups.
+WALK_ROWS, COUNTED_ROWS = 8_192, 200_000
 #: Decimals to which cosines count as equal.
 DECIMALS = 9
 
@@ -104,6 +110,47 @@ class Tree:
                 out.append(np.concatenate([sure, self._first(one, np.flatnonzero(way == end), 0, count - len(sure))]))
         return out
 
+    def across(self, node: int, x: np.ndarray) -> np.ndarray:
+        """How far every row lies behind the border between each child of a node and the nearest child; 0 for that one."""
+        own = np.array(self.children[node])
+        d = self._norms[own] - 2.0 * (x @ self.centroids[own].T)
+        first = d.argmin(axis=1)
+        return (d - d[np.arange(len(x)), first][:, None]) / self._gaps[node][first]
+
+    def within(self, x: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves to which the borders on the way of a row are at most ``far`` away, by the sum of their squares.
+
+        Borders of different levels stand nearly upright on each other, so this is about the square of the way behind them.
+        """
+        rows, leaves = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        waiting = [(0, np.arange(len(x)), np.zeros(len(x)))]
+        while waiting:
+            node, here, gone = waiting.pop()
+            if self.leaf[node] >= 0:
+                rows.append(here)
+                leaves.append(np.full(len(here), self.leaf[node], dtype=np.int64))
+                continue
+            gone = gone[:, None] + self.across(node, x[here]) ** 2
+            for j, child in enumerate(self.children[node]):
+                near = np.flatnonzero(gone[:, j] <= far)
+                if len(near):
+                    waiting.append((child, here[near], gone[near, j]))
+        return np.concatenate(rows), np.concatenate(leaves)
+
+    def reach(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """For every row and its leaf the least ``far`` with which ``within`` visits it."""
+        far = np.zeros(len(x))
+        waiting = [(0, np.arange(len(x)))]
+        while waiting:
+            node, here = waiting.pop()
+            if self.leaf[node] >= 0 or not len(here):
+                continue
+            over = self.across(node, x[here])
+            to = np.array([self._toward[node][one] for one in leaf[here].tolist()])
+            far[here] += over[np.arange(len(here)), to] ** 2
+            waiting += [(child, here[to == j]) for j, child in enumerate(self.children[node])]
+        return far
+
     def _first(self, far: np.ndarray, leaves: np.ndarray, step: int, count: int) -> np.ndarray:
         """The first ``count`` of leaves that wait for the same largest distance from ``step`` of their ways on."""
         while len(leaves) > count:
@@ -130,6 +177,17 @@ class Tree:
         deep = max(map(len, way.values()))
         # One row a level, one column a leaf: the nodes on the way to it, the last one repeated.
         self._ways = np.array([way[k] + way[k][-1:] * (deep - len(way[k])) for k in sorted(way)]).T
+        # Of each inner node: twice the distances between its children, and the child on the way to a leaf.
+        self._gaps, self._toward = {}, {}
+        for node, own in enumerate(self.children):
+            if own:
+                c = self.centroids[own]
+                self._gaps[node] = np.maximum(2.0 * np.linalg.norm(c[:, None] - c[None], axis=2), 1e-12)
+                self._toward[node] = {}
+        for leaf, nodes in way.items():
+            for above, child in zip([0, *nodes], nodes):
+                if self.children[above]:
+                    self._toward[above][leaf] = self.children[above].index(child)
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -140,8 +198,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray
     c = x[rng.choice(len(x), size=k, replace=False)]
     for _ in range(KMEANS_ROUNDS):
         to = _nearest(x, c)
-        sums = np.zeros_like(c)
-        np.add.at(sums, to, x)
+        sums = (np.arange(k)[:, None] == to[None, :]).astype(np.float64) @ x
         n = np.bincount(to, minlength=k)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c, _nearest(x, c)
@@ -186,6 +243,14 @@ def first_k(qid: np.ndarray, ids: np.ndarray, value: np.ndarray, k: int) -> tupl
 
 def block_neighbours(qid: np.ndarray, q: np.ndarray, mid: np.ndarray, m: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, neighbour, cosine): for each query its ``k`` best of the block with a cosine of ``least`` or more."""
+    if least > -1.0 and len(q):
+        # Single precision, with its error allowed for, tells the few pairs that may be near; their cosines are exact.
+        slack = (q.shape[1] + 8) * 2.0**-23
+        rows, cols = np.nonzero(q.astype(np.float32) @ m.astype(np.float32).T >= np.float32(least - slack))
+        if len(rows) <= DENSE * k * len(q):
+            cos = np.round(np.clip(np.einsum("ij,ij->i", q[rows], m[cols]), -1.0, 1.0), DECIMALS)
+            near = (cos >= least) & (qid[rows] != mid[cols])
+            return first_k(qid[rows[near]], mid[cols[near]], cos[near], k)
     cos = np.round(np.clip(q @ m.T, -1.0, 1.0), DECIMALS)
     cos[qid[:, None] == mid[None, :]] = -2.0
     if cos.shape[1] > k:
@@ -229,12 +294,12 @@ def _filed(reps: DataFrame, tree: Tree) -> DataFrame:
     return reps.select("id", "v").mapInArrow(run, "id bigint, v binary, leaf int")
 
 
-def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n: int, recall: float) -> int:
-    """Leaves to visit so that ``recall`` of the exact neighbours of sampled queries are met."""
+def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n: int, recall: float) -> float:
+    """How near borders must be, for ``within``, so that ``recall`` of the exact neighbours of sampled queries are met."""
     share = min(1.0, 1.5 * rows / max(1, n))
     queries = filed.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(rows).toArrow()
     if not queries.num_rows:
-        return 1
+        return 0.0
     qid, raw = queries["id"].to_numpy(), queries["v"].to_pylist()
     q = unit_rows(raw, len(raw[0]) // 4)
 
@@ -248,16 +313,12 @@ def calibrate(filed: DataFrame, tree: Tree, k: int, least: float, rows: int, n:
                 leaf = dict(zip(ids.tolist(), part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s), pa.array([leaf[x] for x in c.tolist()], pa.int32())], ["q", "n", "cos", "leaf"])
 
-    truth = _best(filed.mapInArrow(exact, "q bigint, n bigint, cos double, leaf int"), k).select("q", "leaf").collect()
-    wanted: dict[int, set[int]] = {}
-    for r in truth:
-        wanted.setdefault(r.q, set()).add(r.leaf)
-    orders = {int(i): {leaf: r for r, leaf in enumerate(tree.visit(v, tree.leaves, wanted[int(i)]), 1)} for i, v in zip(qid, q) if int(i) in wanted}
-    ranks = sorted(orders[r.q][r.leaf] for r in truth)
-    if not ranks:  # no sampled query has a neighbour that near; what finds the nearest ones finds those as well
-        return calibrate(filed, tree, k, -1.0, rows, n, recall) if least > -1.0 else 1
-    # One visit more than the sample asks for, as the sample does not know its own error.
-    return min(tree.leaves, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)] + 1)
+    truth = _best(filed.mapInArrow(exact, "q bigint, n bigint, cos double, leaf int"), k).select("q", "leaf").toArrow()
+    if not truth.num_rows:  # no sampled query has a neighbour that near; what finds the nearest ones finds those as well
+        return calibrate(filed, tree, k, -1.0, rows, n, recall) if least > -1.0 else 0.0
+    at = {int(i): r for r, i in enumerate(qid)}
+    far = np.sort(tree.reach(q[[at[i] for i in truth["q"].to_pylist()]], truth["leaf"].to_numpy()))
+    return WIDER * float(far[min(len(far) - 1, math.ceil(recall * len(far)) - 1)])
 
 
 def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, queries: str | None = None) -> DataFrame:
@@ -298,34 +359,53 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, k: int = 5, least: float
     drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).select("v").toArrow()
     tree = fit_tree(unit_rows(drawn["v"].to_pylist(), dim), SAMPLE_PER_LEAF) if drawn.num_rows else Tree(np.zeros((1, dim)), [[]], np.array([0]))
     filed = materialise(_filed(spread(reps), tree))
-    visits = calibrate(filed, tree, k, least, CALIBRATION_ROWS, n, recall)
+    far = calibrate(filed, tree, k, least, CALIBRATION_ROWS, n, recall)
 
     # Leaves are numbered from the root down, so those of a group are near each other.
     groups = max(1, min(tree.leaves, max(2 * slots(spark), math.ceil(n / GROUP_ROWS))))
     of_group = lambda leaf: leaf * groups // tree.leaves
 
+    def visited(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row and group of each part of the visits of a batch, where it ends, and the leaves of all parts."""
+        found = [tree.within(unit_rows(v.slice(at, WALK_ROWS).to_pylist(), dim), far) for at in range(0, len(v), WALK_ROWS)]
+        row = np.concatenate([x + k_part * WALK_ROWS for k_part, (x, _) in enumerate(found)])
+        leaf = np.concatenate([x for _, x in found])
+        order = np.lexsort((leaf, row))
+        row, leaf = row[order], leaf[order]
+        group = of_group(leaf)
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])]))
+        return row[first], group[first], np.append(first, len(leaf)), leaf
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, where, found = [], [], []
-            for k_row, seen in enumerate(tree.visits(unit_rows(b.column(1).to_pylist(), dim), visits) if b.num_rows else ()):
-                own: dict[int, list[int]] = {}
-                for leaf in seen.tolist():
-                    own.setdefault(of_group(leaf), []).append(leaf)
-                rows += [k_row] * len(own)
-                where += own
-                found += own.values()
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(where, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "g", "leaves"])
+            if b.num_rows:
+                row, group, ends, leaf = visited(b.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf, pa.int32()))
+                for at in range(0, len(row), WALK_ROWS):
+                    part = slice(at, at + WALK_ROWS)
+                    to = pa.array(row[part], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(to), b.column(1).take(to), pa.array(group[part], pa.int32()), lists[part]], ["id", "v", "g", "leaves"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(groups, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount(visited(b.column(1))[1], minlength=groups)
+        g = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(n[g], pa.int64())], ["g", "n"])
 
     # Only those who ask: classes of copies that hold an asking vector.
     asking = every if queries is None else every.withColumnRenamed("id", vec_id).where(queries).withColumnRenamed(vec_id, "id")
     askers = reps if queries is None else reps.join(asking.select("v").distinct(), "v", "left_semi")
-    walks = materialise(spread(askers.select("id", "v")).mapInArrow(walk, "id bigint, v binary, g int, leaves array<int>"))
+    askers = spread(askers.select("id", "v"))
+    counted = max(1, n // COUNTED_ROWS)
+    walks = askers.mapInArrow(walk, "id bigint, v binary, g int, leaves array<int>")
     filed = filed.withColumn("g", F.floor(F.col("leaf") * groups / tree.leaves).cast("int"))
-    # Two counts a group decide into how many blocks its vectors and its visits are cut. The number of groups is bounded.
+    # Two counts a group decide into how many blocks its vectors and its visits are cut: that of visits from a part of the queries, as
+    # only the size of blocks depends on it. The number of groups is bounded.
     held = {r.g: r["count"] for r in filed.groupBy("g").count().collect()}
-    asked = {r.g: r["count"] for r in walks.groupBy("g").count().collect()}
-    plan = spark.createDataFrame([(g, math.ceil(c / GROUP_ROWS), math.ceil(asked.get(g, 0) / GROUP_ROWS)) for g, c in held.items()], "g int, ms int, qs int").where("qs > 0")
+    asked = {r.g: r.n for r in askers.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(counted)) == 0).mapInArrow(tally, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    plan = spark.createDataFrame([(g, math.ceil(c / GROUP_ROWS), max(1, math.ceil(counted * asked.get(g, 0) / GROUP_ROWS))) for g, c in held.items()], "g int, ms int, qs int")
     plan = F.broadcast(plan)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -81,3 +81,35 @@ def test_the_calibration_walks_no_further_than_to_the_leaves_it_ranks():
         whole = tree.visit(q, tree.leaves)
         assert tree.visit(q, tree.leaves, {whole[3], whole[9]}) == whole[:10]
         assert tree.visit(q, tree.leaves, set()) == []
+
+
+def test_borders_tell_the_leaves_that_a_query_visits():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(60, 12)), 40, axis=0) + rng.normal(scale=0.4, size=(2_400, 12))
+    tree = vectors.fit_tree(x, 6)
+    own = tree.assign(x)
+    assert not tree.reach(x, own).any()
+    row, leaf = tree.within(x, 0.0)
+    assert row[np.argsort(row)].tolist() == list(range(len(x))) and (leaf == own[row]).all()
+    other = own[rng.permutation(len(x))]
+    far = tree.reach(x, other)
+    for end in np.quantile(far, [0.1, 0.5, 0.9]):
+        found = set(zip(*(a.tolist() for a in tree.within(x, end))))
+        assert [(k, int(one)) in found for k, one in enumerate(other)] == (far <= end).tolist()
+    alone = vectors.fit_tree(x[:3], 6)
+    assert [a.tolist() for a in alone.within(x[:2], 0.0)] == [[0, 1], [0, 0]]
+    # A query deep inside its leaf visits fewer leaves than one between many.
+    visits = np.bincount(tree.within(x, float(np.median(far)))[0])
+    assert visits.min() < visits.mean() / 2
+
+
+@pytest.mark.parametrize("least", [0.5, 0.9])
+def test_blocks_by_single_precision_give_the_same_neighbours(least, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(50, 16)), 6, axis=0) + rng.normal(scale=0.25, size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(300)
+    few = [a.tolist() for a in vectors.block_neighbours(ids[:90], x[:90], ids, x, 5, least)]
+    monkeypatch.setattr(vectors, "DENSE", 0)
+    every = [a.tolist() for a in vectors.block_neighbours(ids[:90], x[:90], ids, x, 5, least)]
+    assert few[:2] == every[:2] and np.allclose(few[2], every[2]) and few[0]
